@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlake.llm import bpe_chunks, langid, mpeg_audio, packing, quality, token_counts, warc
+from cmdlake.llm import bpe_chunks, langid, mpeg_audio, packing, quality, substring_dedup, suffix_dedup, token_counts, warc
 from cmdlake.llm.common import cut, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
@@ -46,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_language_id, op4_bpe, op5_quality, op7_warc, op8_token_counts, op9_mpeg_audio, op10_packing]
+    found = [op1_suffix_dedup, op2_substring_dedup, op3_language_id, op4_bpe, op5_quality, op7_warc, op8_token_counts, op9_mpeg_audio, op10_packing]
     return {f.__name__: f for f in found}
 
 
