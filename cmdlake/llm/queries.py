@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlake.llm import bpe_chunks, langid, mpeg_audio, packing, quality, substring_dedup, suffix_dedup, token_counts, warc
+from cmdlake.llm import bpe_chunks, langid, mpeg_audio, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, warc
 from cmdlake.llm.common import cut, table
 
 
@@ -34,6 +34,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = cut(warc.write_archives(table(spark, sf_dir, "pages")))
     return warc.read_archives(archives).select(
@@ -54,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_substring_dedup, op3_language_id, op4_bpe, op5_quality, op7_warc, op8_token_counts, op9_mpeg_audio, op10_packing]
+    found = [op1_suffix_dedup, op2_substring_dedup, op3_language_id, op4_bpe, op5_quality, op6_near_dedup, op7_warc, op8_token_counts, op9_mpeg_audio, op10_packing]
     return {f.__name__: f for f in found}
 
 
