@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cmdlake.llm import repeats
@@ -71,9 +71,9 @@ def least_shared(n, share: int, k: int):
 
 
 def near_components(docs: DataFrame, share: int = 85, width: int = SHINGLE, k: int = SKETCH) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row per document."""
+    """doc_id, n_shingles, component_id and kept, a row per document; row_hash tells rows of one doc_id apart."""
     rows = repeats.written(describe(docs, width, k))
-    ids = rows.select(F.when(F.col("d") == repeats.NONE, F.lit(LAST)).otherwise(F.col("d")).alias("d"), "n", "c")
+    ids = rows.select(F.when(F.col("d") == repeats.NONE, F.lit(LAST)).otherwise(F.col("d")).alias("d"), "k", "n", "c")
     classes = repeats.written(
         rows.filter("n > 0").groupBy("c").agg(F.min(F.struct("d", "k")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         .select("c", "one.*", "n", "sketch")
@@ -188,5 +188,13 @@ def near_components(docs: DataFrame, share: int = 85, width: int = SHINGLE, k: i
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     return (
         ids.join(named, "c", "left").withColumn("component_id", F.coalesce("component_id", "d"))
-        .select(real("d").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), (F.col("d") == F.col("component_id")).alias("kept"))
+        .select(real("d").alias("doc_id"), F.col("n").alias("n_shingles"), real("component_id").alias("component_id"), (F.col("d") == F.col("component_id")).alias("kept"), F.col("k").alias("row_hash"))
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that near_components keeps, all columns; of fully repeated rows one stays."""
+    kept = near_components(docs).filter("kept").select(F.coalesce("doc_id", F.lit(repeats.NONE)).alias("__d"), F.col("row_hash").alias("__k")).distinct()
+    named = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NONE)), "__k": F.xxhash64("doc_id", "text")})
+    nth = F.row_number().over(Window.partitionBy("__d", "__k").orderBy(F.lit(0)))
+    return named.join(kept, ["__d", "__k"], "left_semi").withColumn("__n", nth).filter("__n = 1").select(*docs.columns)

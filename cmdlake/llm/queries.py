@@ -35,7 +35,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_components(table(spark, sf_dir, "documents"))
+    return near_dedup.near_components(table(spark, sf_dir, "documents")).drop("row_hash")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

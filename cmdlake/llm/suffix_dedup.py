@@ -72,11 +72,35 @@ def repeated(contexts: list[np.ndarray], weights: np.ndarray, width: int = WIDTH
     return [hit[b : b + s - width] for b, s in zip(begin, sizes, strict=True)]
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept, the remaining bytes."""
-    spans = repeats.repeated_windows(
+def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """d, k and spans of repeated windows (see repeats.repeated_windows)."""
+    return repeats.repeated_windows(
         docs, repeats.byte_symbols, lambda raw, at: [raw[a : a + n] for a, n in at], lambda x, w: repeated(x, w, width), width, gram, 1
     )
+
+
+def remaining_text(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The documents with text cut to what remains; bytes of characters that a removal divides go too."""
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, found in zip(text, spans, strict=True):
+            if found is not None and t is not None:
+                raw = np.frombuffer(t.encode(), "u1")
+                t = raw[~repeats.covered(found, len(raw), width)].tobytes().decode("utf-8", "ignore")
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    spans = repeated_spans(docs, width, gram).select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("spans").alias("__spans"))
+    named = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NONE)), "__k": F.xxhash64("doc_id", "text")})
+    done = named.join(spans, ["__d", "__k"], "left").withColumn("text", rest("text", "__spans"))
+    return done.select(*docs.columns)
+
+
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also kept, the remaining bytes."""
+    spans = repeated_spans(docs, width, gram)
     schema = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
