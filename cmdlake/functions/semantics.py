@@ -1,0 +1,46 @@
+"""Boolean features of a parsed command (see parsing.parse), as one struct of native expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Fixed values.
+DOWNLOADERS = ("curl", "wget", "certutil", "bitsadmin")
+NETWORK_TOOLS = ("ipconfig", "ifconfig", "netstat", "arp", "route", "ip", "ss", "nslookup", "dig", "traceroute")
+EXECUTABLE_SUFFIX = r"(?i)\.(exe|dll|bat|cmd|ps1|sh|py|hta|vbs|js|msi)$"
+REMOTE_TOOLS = ("ssh", "scp", "rsync", "sftp", "psexec")
+SERVICE_TOOLS = ("sc", "systemctl", "service")
+
+
+def features(p: Column) -> Column:
+    exe, sub = p["executable"], F.lower(F.try_element_at(p["positional_args"], F.lit(1)))
+    remote = (F.size(p["remote_tokens"]) > 0) | (F.size(p["urls"]) > 0)
+    lower_args = F.transform(p["positional_args"], F.lower)
+    return F.struct(
+        remote.alias("has_remote_target"),
+        (F.size(p["file_paths"]) > 0).alias("writes_local_file"),
+        F.exists(p["file_paths"], lambda x: x.rlike(EXECUTABLE_SUFFIX)).alias("writes_executable_like_file"),
+        (exe.isin(*DOWNLOADERS) & remote).alias("downloads_remote_resource"),
+        (exe.isin("scp", "rsync", "sftp") & remote | (exe.isin("ssh", "scp", "rsync") & F.exists(p["remote_tokens"], lambda x: x.contains("@")))).alias("transfers_file_to_remote"),
+        exe.isin(*SERVICE_TOOLS).alias("service_control"),
+        (exe.isin("sc", "systemctl") & F.coalesce(sub.isin("create", "config", "enable", "link"), F.lit(False))).alias("creates_or_modifies_service"),
+        (exe.isin(*NETWORK_TOOLS) | (exe == "net") & F.coalesce(sub.isin("view", "use", "share"), F.lit(False))).alias("enumerates_network_config"),
+        (((exe == "net") & F.coalesce(sub.isin("user", "group", "localgroup"), F.lit(False))) | (exe == "dsquery") | ((exe == "getent") & F.coalesce(sub.isin("passwd", "group"), F.lit(False)))).alias("enumerates_users_or_groups"),
+        ((exe.isin(*REMOTE_TOOLS) & remote) | ((exe == "wmic") & F.array_contains(lower_args, "process"))).alias("remote_execution_or_session"),
+        (F.size(p["encoded_markers"]) > 0).alias("uses_encoded_payload"),
+        (F.size(p["obfuscation_markers"]) > 0).alias("uses_obfuscation"),
+        p["inline_code"].alias("executes_inline_code"),
+    )
+
+
+#: The features that the templates of the commands table reach, over a collapsed command x without quotes.
+ORACLE_SQL = {
+    "has_remote_target": r"(regexp_matches(x, ' [^ ]*@') OR regexp_matches(x, '(?i)\b(?:https?|ftp)://'))",
+    "downloads_remote_resource": r"(regexp_matches(x, '^(curl|wget|certutil|bitsadmin) ') AND (regexp_matches(x, ' [^ ]*@') OR regexp_matches(x, '(?i)\b(?:https?|ftp)://')))",
+    "transfers_file_to_remote": r"(regexp_matches(x, '^(scp|rsync|sftp|ssh) ') AND regexp_matches(x, ' [^ ]*@'))",
+    "service_control": r"regexp_matches(x, '^(sc|systemctl|service) ')",
+    "creates_or_modifies_service": r"regexp_matches(x, '^(sc|systemctl) (create|config|enable|link)\b')",
+    "enumerates_users_or_groups": r"regexp_matches(x, '^net (user|group|localgroup)\b')",
+    "executes_inline_code": r"regexp_matches(x, '(?i) (-c|/c|-e|-enc|-encodedcommand)( |$)')",
+}
