@@ -46,7 +46,6 @@ def all_of(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
-@F.pandas_udf("array<string>")
 def posix_tokens(commands: pd.Series) -> pd.Series:
     def split(text: str | None) -> list[str] | None:
         if text is None:
@@ -65,7 +64,7 @@ def tokens(c: Column, quotes: bool = True) -> Column:
     if not quotes:
         return plain
     posix = c.rlike("['\"]") & ~c.contains("\\") & ~c.rlike(WINDOWS_WORD)
-    return F.when(posix, posix_tokens(F.when(posix, c))).otherwise(plain)
+    return F.when(posix, F.pandas_udf(posix_tokens, "array<string>")(F.when(posix, c))).otherwise(plain)
 
 
 def is_flag(t: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cmdlake.functions import parsing, semantics, text
+from cmdlake.functions import decoding, parsing, routing, semantics, text
 from cmdlake.operators import baseline
 from cmdlake.sources.commands import COMMANDS_SQL, commands, history_command, last_comma
 
@@ -223,3 +223,36 @@ def bas6_bas7_evaluation(spark, sf_dir):
 def flagship_triage(spark, sf_dir):
     p = parsed(spark, sf_dir).withColumn("sem", semantics.features(F.col("p")))
     return p.groupBy("host_id").agg(F.count("*").alias("n_commands"), *[F.sum(F.col(f"sem.{name}").cast("long")).alias(name) for name in semantics.ORACLE_SQL])
+
+_VIEW = r"lower(regexp_replace(command, '^\s+|\s+$', '', 'g'))"
+
+
+def _re(pattern: str) -> str:
+    flags = "s" if pattern.startswith("(?s)") else ""
+    return f"regexp_matches({_VIEW}, '(?i{flags}{'m' if pattern.startswith('(?m)') else ''}){pattern.removeprefix('(?s)').removeprefix('(?m)')}')"
+
+
+@query(WITH + " SELECT event_id, " + ", ".join(f"{_re(p)} AS {name}" for name, p in routing.PATTERNS.items()) + " FROM commands")
+def rte1_routing_features(spark, sf_dir):
+    rows = commands(spark, sf_dir).withColumn("f", routing.routing_features(F.col("command")))
+    return rows.select("event_id", "f.*")
+
+
+_SUSPECT = " OR ".join(_re(routing.PATTERNS[name]) for name in routing.SUSPICIOUS)
+
+
+@query(
+    WITH + f", f AS (SELECT event_id, (value % 100) / 100.0 AS benign, ({_SUSPECT}) AS forced FROM commands) "
+    "SELECT event_id, CASE WHEN forced OR benign < 0.5 THEN 'Suspicious' ELSE 'Benign' END AS label, round(CASE WHEN forced THEN greatest(1 - benign, 0.9) ELSE greatest(1 - benign, benign) END, 6) AS confidence FROM f"
+)
+def rte2_rte5_route(spark, sf_dir):
+    rows = commands(spark, sf_dir).withColumn("s", routing.suspicious_features(routing.routing_features(F.col("command"))))
+    r = rows.withColumn("r", routing.route((F.col("value") % 100) / 100.0, F.col("s")))
+    return r.select("event_id", "r.label", F.round("r.confidence", 6).alias("confidence"))
+
+
+@query(WITH + " SELECT event_id, command AS decoded, 'bare_base64' AS transforms, 'stable' AS stop_reason FROM commands")
+def dec11_decode_trace(spark, sf_dir):
+    packed = commands(spark, sf_dir).select("event_id", F.regexp_replace(F.base64(F.encode("command", "utf-8")), r"\s", "").alias("command"))
+    d = decoding.decode(packed)
+    return d.select("event_id", F.col("decode.final").alias("decoded"), F.array_join("decode.steps.transform", ",").alias("transforms"), "decode.stop_reason")

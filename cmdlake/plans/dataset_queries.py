@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 
 from cmdlake.functions.text import dedup_key
 from cmdlake.operators import datasets
+from cmdlake.operators.graph import key_components
 
 QUERIES, ORACLE = {}, {}
 KEY = r"lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
-K = F.col("text")
-LABEL = F.when(F.col("toxic") == 1, "Malicious").when(F.col("quality") == 0, "Context").otherwise("Benign")
 LABEL_SQL = "CASE WHEN toxic = 1 THEN 'Malicious' WHEN quality = 0 THEN 'Context' ELSE 'Benign' END"
 LABELLED = f"WITH d AS (SELECT d.doc_id, d.source, {KEY} AS key, {LABEL_SQL} AS label FROM documents d JOIN labels USING (doc_id))"
 
@@ -29,14 +28,19 @@ def docs(spark, sf_dir, name="documents"):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def key():
+    return dedup_key(F.col("text"))
+
+
 def labelled(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", "text", "source").join(docs(spark, sf_dir, "labels"), "doc_id").withColumn("label", LABEL)
+    label = F.when(F.col("toxic") == 1, "Malicious").when(F.col("quality") == 0, "Context").otherwise("Benign")
+    return docs(spark, sf_dir).select("doc_id", "text", "source").join(docs(spark, sf_dir, "labels"), "doc_id").withColumn("label", label)
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {KEY} ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def agg1_keep_first(spark, sf_dir):
     # rows are told apart by a digest of the key, so that whole texts aren't shuffled
-    keyed = docs(spark, sf_dir).select("doc_id", F.sha2(dedup_key(K), 256).alias("digest"))
+    keyed = docs(spark, sf_dir).select("doc_id", F.sha2(key(), 256).alias("digest"))
     return keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
 
 
@@ -45,12 +49,12 @@ def agg1_keep_first(spark, sf_dir):
     "SELECT key, min_by(label, rank) AS label, count(*) AS n_rows, count(DISTINCT label) AS n_labels FROM r GROUP BY key"
 )
 def agg2_resolved_labels(spark, sf_dir):
-    return datasets.resolved(labelled(spark, sf_dir), F.sha2(dedup_key(K), 256), "label", {"Malicious": 0, "Context": 1, "Benign": 2})
+    return datasets.resolved(labelled(spark, sf_dir), F.sha2(key(), 256), "label", {"Malicious": 0, "Context": 1, "Benign": 2})
 
 
 @query(LABELLED + " SELECT sha256(key) AS key, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, count(*) AS n_rows FROM d GROUP BY key HAVING count(DISTINCT label) > 1")
 def agg3_conflicts(spark, sf_dir):
-    return datasets.conflicts(labelled(spark, sf_dir), F.sha2(dedup_key(K), 256), "label").select("key", F.array_join("labels", ",").alias("labels"), "n_rows")
+    return datasets.conflicts(labelled(spark, sf_dir), F.sha2(key(), 256), "label").select("key", F.array_join("labels", ",").alias("labels"), "n_rows")
 
 
 @query("SELECT source, lang, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest, round(avg(n_chars), 6) AS mean, quantile_cont(n_chars, 0.5) AS median FROM documents GROUP BY 1, 2")
@@ -84,7 +88,7 @@ def joi3_exposure_flag(spark, sf_dir):
     "SELECT a.s AS left_split, b.s AS right_split, count(*) AS shared FROM k a JOIN k b ON a.key = b.key AND a.s < b.s GROUP BY 1, 2"
 )
 def joi4_split_overlaps(spark, sf_dir):
-    return datasets.split_overlaps(docs(spark, sf_dir), F.sha2(dedup_key(K), 256), "source")
+    return datasets.split_overlaps(docs(spark, sf_dir), F.sha2(key(), 256), "source")
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || CAST(doc_id AS STRING))) AS n FROM documents) WHERE n <= 20")
@@ -131,5 +135,13 @@ def dst15_class_weights(spark, sf_dir):
     f"SELECT source, count(*) AS loaded, count(DISTINCT sha256({KEY})) AS distinct_keys, count(*) - count(DISTINCT sha256({KEY})) AS duplicate_internal FROM documents GROUP BY 1"
 )
 def agg12_ingest_statistics(spark, sf_dir):
-    keys = docs(spark, sf_dir).groupBy("source", F.sha2(dedup_key(K), 256).alias("k")).agg(F.count("*").alias("n"))
+    keys = docs(spark, sf_dir).groupBy("source", F.sha2(key(), 256).alias("k")).agg(F.count("*").alias("n"))
     return keys.groupBy("source").agg(F.sum("n").alias("loaded"), F.count("*").alias("distinct_keys"), (F.sum("n") - F.count("*")).alias("duplicate_internal"))
+
+
+@query(
+    "SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders"
+)
+def grp1_components(spark, sf_dir):
+    rows = docs(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), (F.col("o_custkey") * 7 + 1).cast("string").alias("twin"))
+    return key_components(rows, "o_orderkey", ["customer", "twin"])
