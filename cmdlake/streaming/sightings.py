@@ -13,12 +13,17 @@ def scanned(stream: DataFrame) -> DataFrame:
     return stream.withColumn("parsed", parse(F.col("command")))
 
 
+def _timed(stream: DataFrame) -> DataFrame:
+    """Event time as an instant: a time without a zone is read in the session's zone (UTC here)."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def daily_sightings(stream: DataFrame, late: str = "1 day") -> DataFrame:
     """Counts per host, command and day; the watermark bounds state and is an addition to the batch form."""
-    days = stream.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "host_id", "command")
+    days = _timed(stream).withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "host_id", "command")
     return days.agg(F.count("*").alias("seen_count"), F.max("ts").alias("last_seen")).select(F.col("window.start").alias("day"), "host_id", "command", "seen_count", "last_seen")
 
 
 def first_sightings(stream: DataFrame, within: str = "1 day") -> DataFrame:
     """A host's command once within the watermark."""
-    return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(["host_id", "command"])
+    return _timed(stream).withWatermark("ts", within).dropDuplicatesWithinWatermark(["host_id", "command"])
