@@ -75,3 +75,42 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     chance = left.join(right, left["a"] == right["b"]).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("met"))
     po, pe = F.col("same") / F.col("total"), F.col("met") / (F.col("total") * F.col("total"))
     return total.crossJoin(chance).select(F.col("total").alias("n"), F.round(po, 6).alias("agreement"), F.when(pe < 1, F.round((po - pe) / (1 - pe), 6)).alias("kappa"))
+
+
+def ranking_auc(df: DataFrame, score: str, target: str) -> DataFrame:
+    """ROC-AUC over distinct scores (ties count half) and average precision; null if a class is missing."""
+    by = df.groupBy(score).agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
+    down = Window.orderBy(F.col(score).desc())
+    run = by.withColumns({"neg": F.col("n") - F.col("pos"), "tp": F.sum("pos").over(down), "said": F.sum("n").over(down)})
+    # a positive outranks every negative of a lower score, and half of those that tie
+    pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
+    precise = F.sum(F.col("pos") * F.col("tp") / F.col("said"))
+    return run.agg(pairs.alias("won"), precise.alias("precise"), F.sum("pos").alias("p"), F.sum("neg").alias("m")).select(
+        F.when((F.col("p") > 0) & (F.col("m") > 0), F.round(F.col("won") / (F.col("p") * F.col("m")), 6)).alias("roc_auc"),
+        F.when((F.col("p") > 0) & (F.col("m") > 0), F.round(F.col("precise") / F.col("p"), 6)).alias("average_precision"),
+    )
+
+
+def error_rates(df: DataFrame, benign: int, classes: list[int]) -> DataFrame:
+    """Share of benign rows predicted as each class."""
+    own = df.filter(F.col("target") == benign)
+    return own.agg(*[F.round(F.avg((F.col("prediction") == c).cast("double")), 6).alias(f"benign_as_{c}") for c in classes])
+
+
+def group_bootstrap(df: DataFrame, group: str, value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """low, high: 2.5 and 97.5 percent quantiles of the mean when whole groups are drawn anew.
+
+    Rows shrink to one sum per group first; each (draw, group) then gets a Poisson(1) weight
+    from a hash, so no draw is ever gathered.
+    """
+    sums = df.groupBy(group).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
+    u = (F.pmod(F.xxhash64(F.col(group), F.col("draw"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    steps, mass, total = [], 0.36787944117144233, 0.0
+    for k in range(9):
+        total += mass
+        steps.append(total)
+        mass /= k + 1
+    weight = sum((u > s).cast("int") for s in steps)
+    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))

@@ -83,3 +83,26 @@ def eva12_agreement(spark, sf_dir):
 def eva15_percentiles(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("longest"))
+
+
+_AUC_IN = "WITH e AS (SELECT round(value, 0) AS score, CAST(event_type = 'error' AS BIGINT) AS y FROM events), b AS (SELECT score, sum(y) AS pos, count(*) AS n FROM e GROUP BY 1), "
+
+
+@query(
+    _AUC_IN + "r AS (SELECT *, n - pos AS neg, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(n) OVER (ORDER BY score DESC) AS said FROM b) "
+    "SELECT round(sum(neg * (tp - pos + pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc, round(sum(pos * tp / said) / sum(pos), 6) AS average_precision FROM r"
+)
+def eva6_ranking(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.round("value", 0).alias("score"), (F.col("event_type") == "error").cast("long").alias("y"))
+    return evaluation.ranking_auc(e, "score", "y")
+
+
+@query(SCORED + "SELECT round(avg(CAST(prediction = 0 AS INTEGER)), 6) AS benign_as_0, round(avg(CAST(prediction = 1 AS INTEGER)), 6) AS benign_as_1, round(avg(CAST(prediction = 2 AS INTEGER)), 6) AS benign_as_2 FROM m WHERE target = 0")
+def eva7_error_rates(spark, sf_dir):
+    return evaluation.error_rates(evaluation.scored(rows(spark, sf_dir)), 0, [0, 1, 2])
+
+
+@query()
+def eva9_group_bootstrap(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return evaluation.group_bootstrap(e, "user_id", (F.col("event_type") == "error").cast("double"))
