@@ -19,7 +19,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words kept per Python worker before the cache starts anew; bounds memory, never results.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-įı-ňŊ-ž]*\Z")
 _PIECE = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-zß-öø-ž0-9]+"
