@@ -13,11 +13,10 @@ text is ``und``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cmdlake.llm.common import chunks
@@ -110,22 +109,29 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict | None:
     return fit(sample) if sample else None
 
 
+def verdicts(texts: list[str | None], model: dict | None) -> tuple[list[str], np.ndarray]:
+    """Language and calibrated probability of each text."""
+    lang, score = ["und"] * len(texts), np.zeros(len(texts))
+    for a, b in chunks(texts):
+        known = [i for i in range(a, b) if model and texts[i] and _LETTER.search(texts[i])]
+        if known:
+            p = predict([texts[i] for i in known], model)
+            for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
+                lang[i], score[i] = model["langs"][k], s
+    return lang, score
+
+
+def language_of(text: Column, model: dict | None) -> Column:
+    """struct(lang_pred, score) of a text column."""
+    shared = SparkContext.getOrCreate().broadcast(model)  # BUCKETS x languages, fixed
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        lang, score = verdicts(texts.tolist(), shared.value)
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return F.pandas_udf(run, "lang_pred string, score double")(text)
+
+
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score of every text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages, fixed
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for pdf in frames:
-            keys, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-            for a, b in chunks(texts):
-                lang, score = ["und"] * (b - a), np.zeros(b - a)
-                known = [i for i, t in enumerate(texts[a:b]) if m and t and _LETTER.search(t)]
-                if known:
-                    p = predict([texts[a + i] for i in known], m)
-                    for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):
-                        lang[i], score[i] = m["langs"][k], s
-                yield pd.DataFrame({"doc_id": keys[a:b], "lang_pred": lang, "score": score})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", language_of(F.col("text"), model).alias("x")).select("doc_id", "x.*")

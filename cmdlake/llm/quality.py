@@ -11,13 +11,13 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from cmdlake.llm.vocab import default_path
 
@@ -73,27 +73,34 @@ def fertility(text: str, vocab: tuple[tiktoken.Encoding, np.ndarray]) -> tuple[i
     return len(ids), len(text) / len(ids), float(vocab[1][ids].mean()), float(-(counts * np.log2(counts)).sum())
 
 
-def quality(docs: DataFrame, bands: dict = BANDS, vocab_path: str | None = None) -> DataFrame:
-    """Counts, fertility figures and verdict of every text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
-
-    def judge(text: str | None, vocab) -> tuple:
-        text = text or ""
-        words = text.encode().split()
-        lines = [line for line in text.split("\n") if line.encode().split()]
-        n, repeat = len(words), repeated_words(words)
-        failed = n < 10 or 100 * repeat > 20 * n
-        tokens, per, share, bits = fertility(text, vocab)
-        script = "latin" if 2 * len(_LATIN.findall(text)) >= len(_LETTER.findall(text)) else "other"
-        low, high, most, least = bands[script]
-        out = tokens >= LEAST_TOKENS and not (low <= per <= high and share <= most and bits >= least)
-        blank = sum(map(text.count, " \t\n\v\f\r"))
-        return n, len(text) - blank, sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeat, failed, not (failed or out), script, tokens, per, share, bits
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, script string, n_tokens long, chars_per_token double, byte_share double, entropy double"
+
+
+def judge(text: str | None, vocab: tuple[tiktoken.Encoding, np.ndarray], bands: dict) -> tuple:
+    """The fields of SCHEMA for one text."""
+    text = text or ""
+    words = text.encode().split()
+    lines = [line for line in text.split("\n") if line.encode().split()]
+    n, repeat = len(words), repeated_words(words)
+    failed = n < 10 or 100 * repeat > 20 * n
+    tokens, per, share, bits = fertility(text, vocab)
+    script = "latin" if 2 * len(_LATIN.findall(text)) >= len(_LETTER.findall(text)) else "other"
+    low, high, most, least = bands[script]
+    out = tokens >= LEAST_TOKENS and not (low <= per <= high and share <= most and bits >= least)
+    blank = sum(map(text.count, " \t\n\v\f\r"))
+    return n, len(text) - blank, sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeat, failed, not (failed or out), script, tokens, per, share, bits
+
+
+def quality_of(text: Column, bands: dict = BANDS, vocab_path: str | None = None) -> Column:
+    """struct of SCHEMA for a text column."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
         vocab = _vocab(vocab_path or default_path("byte_bpe_multi_50k.tiktoken"))
-        for pdf in frames:
-            yield pd.DataFrame([(k, *judge(t, vocab)) for k, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True)], columns=[c.split(" ")[0] for c in schema.split(", ")])
+        return pd.DataFrame([judge(t, vocab, bands) for t in texts.tolist()], columns=[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+    return F.pandas_udf(run, SCHEMA)(text)
 
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+def quality(docs: DataFrame, bands: dict = BANDS, vocab_path: str | None = None) -> DataFrame:
+    """doc_id, counts, fertility figures and verdict of every text."""
+    return docs.select("doc_id", quality_of(F.col("text"), bands, vocab_path).alias("x")).select("doc_id", "x.*")
