@@ -6,26 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdlake.llm import langid, near_dedup, packing, quality, repeats, suffix_dedup
+from cmdlake.llm.common import small_batches
 
 #: Texts whose best language has a lower calibrated probability are rejected.
 LEAST_SCORE = 0.5
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose doc_id is in ids, null included; both come from the same rows."""
-    return docs.join(ids.distinct().withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter or without a clear language."""
+    small_batches(docs)
     model = langid.train(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
-    found = langid.identify(docs, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
-    return _only(docs, found.select("doc_id"))
+    found = docs.withColumn("__x", langid.language_of(F.col("text"), model))
+    return found.filter((F.col("__x.lang_pred") != "und") & (F.col("__x.score") >= LEAST_SCORE)).drop("__x")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects repetitive or very short texts and those outside their script's fertility band."""
-    return _only(docs, quality.quality(docs).filter("kept").select("doc_id"))
+    return docs.withColumn("__x", quality.quality_of(F.col("text"))).filter("__x.kept").drop("__x")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
