@@ -122,3 +122,61 @@ def parse(command: Column, quotes: bool = True) -> Column:
         marks(text, OBFUSCATED).alias("obfuscation_markers"),
         F.arrays_overlap(F.transform(F.filter(rest, is_flag), F.lower), F.array(*map(F.lit, INLINE_FLAGS))).alias("inline_code"),
     )
+
+
+# Fixed values.
+INTERPRETERS = {
+    "bash": "bash", "sh": "sh", "zsh": "zsh", "fish": "fish", "python": "python", "python3": "python", "py": "python", "perl": "perl", "ruby": "ruby", "php": "php",
+    "node": "node", "node.exe": "node", "powershell": "powershell", "powershell.exe": "powershell", "pwsh": "powershell", "cmd": "cmd", "cmd.exe": "cmd",
+    "wscript": "wscript", "cscript": "cscript",
+}
+WINDOWS_TOOLS = (
+    "powershell", "pwsh", "cmd", "reg", "schtasks", "wmic", "certutil", "mshta", "rundll32", "vssadmin", "bitsadmin", "ipconfig", "net", "sc", "wscript", "cscript",
+)
+LINUX_TOOLS = (
+    "ls", "pwd", "cat", "curl", "wget", "tar", "unzip", "ssh", "scp", "rsync", "docker", "systemctl", "find", "grep", "awk", "sed", "bash", "sh", "python3", "python",
+    "zip", "gunicorn", "flask", "node", "id", "uname", "ifconfig", "ip", "netstat", "ss", "dig", "nslookup", "traceroute", "ping",
+)
+PROXY_WINDOWS = ("certutil", "mshta", "rundll32", "regsvr32", "wmic", "powershell", "bitsadmin", "schtasks", "vssadmin", "reg", "cmd", "wscript", "cscript")
+PROXY_LINUX = ("bash", "sh", "curl", "wget", "ssh", "scp", "tar", "find", "python", "python3", "perl", "ruby", "php", "awk", "sed")
+ARCHIVERS = ("tar", "zip", "unzip", "7z", "7za", "gzip", "gunzip", "rar", "unrar")
+ARCHIVE_SUFFIX = r"(?i)\.(zip|tar|gz|tgz|bz2|xz|7z|rar)$"
+
+
+def bare_tool(exe: Column) -> Column:
+    return F.regexp_replace(exe, r"\.exe$", "")
+
+
+def platform(p: Column) -> Column:
+    """windows, linux or unknown of a parsed command."""
+    windows = (F.size(p["registry_paths"]) > 0) | bare_tool(p["executable"]).isin(*WINDOWS_TOOLS)
+    return (
+        F.when(windows, "windows").when(p["executable"].isin(*LINUX_TOOLS), "linux")
+        .when(F.exists(p["flags"], lambda f: f.startswith("/")), "windows").otherwise("unknown")
+    )
+
+
+def interpreter_markers(command: Column) -> Column:
+    """Interpreters among the tokens that are no flags, in order."""
+    known = F.create_map(*[F.lit(x) for kv in INTERPRETERS.items() for x in kv])
+    base = lambda t: F.lower(F.element_at(F.split(F.regexp_replace(t, r"\\", "/"), "/"), -1))
+    named = F.transform(F.filter(all_of(collapse(command), TOKEN), lambda t: ~is_flag(t) | t.startswith("/")), lambda t: F.try_element_at(known, base(t)))
+    return F.array_distinct(F.array_compact(named))
+
+
+def proxy_match(p: Column) -> Column:
+    """Whether the executable is a proxy binary of its platform (of any, if that is unknown)."""
+    exe, where = bare_tool(p["executable"]), platform(p)
+    return F.when(where == "windows", exe.isin(*PROXY_WINDOWS)).when(where == "linux", exe.isin(*PROXY_LINUX)).otherwise(exe.isin(*PROXY_WINDOWS, *PROXY_LINUX))
+
+
+def archive_use(p: Column) -> Column:
+    """Whether an archive tool runs or an argument is an archive."""
+    return p["executable"].isin(*ARCHIVERS) | F.exists(p["positional_args"], lambda a: a.rlike(ARCHIVE_SUFFIX))
+
+
+def refanged_urls(c: Column) -> Column:
+    """Distinct hxxp(s) URLs in plain form."""
+    found = all_of(c, r"(?i)\bhxxps?://[^\s\"'<>|]+")
+    plain = F.transform(found, lambda u: F.regexp_replace(F.regexp_replace(F.regexp_replace(u, r"(?i)^hxxp", "http"), r"\[\.\]", "."), r"[.,;:)\]]+$", ""))
+    return F.array_distinct(plain)

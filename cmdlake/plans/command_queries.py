@@ -256,3 +256,34 @@ def dec11_decode_trace(spark, sf_dir):
     packed = commands(spark, sf_dir).select("event_id", F.regexp_replace(F.base64(F.encode("command", "utf-8")), r"\s", "").alias("command"))
     d = decoding.decode(packed)
     return d.select("event_id", F.col("decode.final").alias("decoded"), F.array_join("decode.steps.transform", ",").alias("transforms"), "decode.stop_reason")
+
+
+def _in(names) -> str:
+    return "(" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+@query(
+    WITH + rf", t AS (SELECT event_id, {TEXT} AS x FROM commands), e AS (SELECT event_id, x, regexp_replace(lower(split_part(x, ' ', 1)), '\.exe$', '') AS exe FROM t), "
+    r"p AS (SELECT *, CASE WHEN regexp_matches(x, '(?i)\b(?:HKLM|HKCU|HKCR|HKU|HKCC)\\') OR exe IN " + _in(parsing.WINDOWS_TOOLS) + " THEN 'windows' WHEN exe IN " + _in(parsing.LINUX_TOOLS)
+    + " THEN 'linux' ELSE 'unknown' END AS platform FROM e) SELECT event_id, platform, "
+    f"CASE platform WHEN 'windows' THEN exe IN {_in(parsing.PROXY_WINDOWS)} WHEN 'linux' THEN exe IN {_in(parsing.PROXY_LINUX)} ELSE exe IN {_in((*parsing.PROXY_WINDOWS, *parsing.PROXY_LINUX))} END AS proxy, "
+    rf"exe IN {_in(parsing.ARCHIVERS)} OR regexp_matches(x, '(?i)\.(zip|tar|gz|tgz|bz2|xz|7z|rar)( |$)') AS archive FROM p"
+)
+def par12_par15_par16_platform(spark, sf_dir):
+    rows = parsed(spark, sf_dir)
+    return rows.select("event_id", parsing.platform(F.col("p")).alias("platform"), parsing.proxy_match(F.col("p")).alias("proxy"), parsing.archive_use(F.col("p")).alias("archive"))
+
+
+@query(
+    WITH + f", t AS (SELECT event_id, unnest(string_split({TEXT}, ' ')) AS w FROM commands), m AS (SELECT event_id, CASE lower(string_split(w, '/')[-1]) "
+    + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in parsing.INTERPRETERS.items())
+    + " END AS i FROM t WHERE NOT starts_with(w, '-')) SELECT event_id, coalesce(string_agg(DISTINCT i, ' ' ORDER BY i), '') AS interpreters FROM m GROUP BY 1"
+)
+def par13_interpreters(spark, sf_dir):
+    return commands(spark, sf_dir).select("event_id", F.array_join(F.array_sort(parsing.interpreter_markers(F.col("command"))), " ").alias("interpreters"))
+
+
+@query(WITH + " SELECT event_id, CASE WHEN event_id % 13 = 8 THEN 'https://files.example.org:8443/a' || CAST(substr(host_id, 2)::INT % 4 AS STRING) || '.sh' ELSE '' END AS urls FROM commands")
+def ioc3_refanged_urls(spark, sf_dir):
+    fanged = F.replace(F.replace(F.col("command"), F.lit("https"), F.lit("hxxps")), F.lit("example.org"), F.lit("example[.]org"))
+    return commands(spark, sf_dir).select("event_id", F.array_join(parsing.refanged_urls(fanged), " ").alias("urls"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cmdlake.functions.text import dedup_key
@@ -145,3 +146,33 @@ def agg12_ingest_statistics(spark, sf_dir):
 def grp1_components(spark, sf_dir):
     rows = docs(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"), (F.col("o_custkey") * 7 + 1).cast("string").alias("twin"))
     return key_components(rows, "o_orderkey", ["customer", "twin"])
+
+
+@query(
+    "SELECT doc_id, lang, CASE WHEN n <= 3 THEN 'train' WHEN n = 4 THEN 'validation' ELSE 'test' END AS split FROM "
+    "(SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('5:' || CAST(doc_id AS STRING))) AS n FROM documents)"
+)
+def dst16_fixed_split(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("5:"), F.col("doc_id").cast("string")), 256)))
+    return docs(spark, sf_dir).select("doc_id", "lang", F.when(n <= 3, "train").when(n == 4, "validation").otherwise("test").alias("split"))
+
+
+@query("SELECT lang, source, n FROM (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY 1, 2) WHERE r <= 3")
+def top1_ranks(spark, sf_dir):
+    counts = docs(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "source"))).filter("r <= 3").drop("r")
+
+
+@query(
+    "SELECT doc_id, sha256(text) AS id, CAST(NULL AS STRING) AS verdict, CAST(NULL AS STRING) AS rationale FROM (SELECT doc_id, text FROM documents ORDER BY sha256('13:' || CAST(doc_id AS STRING)) LIMIT 50)"
+)
+def rev1_blind_queue(spark, sf_dir):
+    queue = docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("id")).orderBy(F.sha2(F.concat(F.lit("13:"), F.col("doc_id").cast("string")), 256)).limit(50)
+    return queue.select("doc_id", "id", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("rationale"))
+
+
+@query(f"WITH w AS (SELECT {LABEL_SQL} AS label, CASE WHEN quality = 1 THEN 'Benign' ELSE 'Context' END AS old FROM labels) SELECT old AS old_label, label AS new_label, count(*) AS n FROM w GROUP BY 1, 2")
+def dst2_transitions(spark, sf_dir):
+    label = F.when(F.col("toxic") == 1, "Malicious").when(F.col("quality") == 0, "Context").otherwise("Benign")
+    old = F.when(F.col("quality") == 1, "Benign").otherwise("Context")
+    return docs(spark, sf_dir, "labels").groupBy(old.alias("old_label"), label.alias("new_label")).agg(F.count("*").alias("n"))
