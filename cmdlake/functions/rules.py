@@ -1,0 +1,109 @@
+"""Declarative rules over a parsed command and its features: candidates, bans and capped priors.
+
+A rule is a condition and the priors it adds; all rules are columns of one projection, so
+Catalyst shares their common parts and no row leaves the JVM.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Behaviour classes and the tool lists of the rules.
+SERVICE = "persistence:create_modify_system_process"
+SCRIPTING = "execution:command_and_scripting_interpreter"
+WMI = "execution:windows_management_instrumentation"
+PROXY = "defense_evasion:signed_binary_proxy_execution"
+OBFUSCATED = "defense_evasion:obfuscated_files_or_information"
+INGRESS = "command_and_control:ingress_tool_transfer"
+EXFILTRATION = "exfiltration:exfiltration_over_c2_channel"
+ACCOUNTS = "discovery:account_discovery"
+NETWORK = "discovery:system_network_configuration_discovery"
+REMOTE_SYSTEMS = "discovery:remote_system_discovery"
+REMOTE = "lateral_movement:remote_services"
+IMPAIR = "defense_evasion:impair_defenses"
+PERMISSIONS = "defense_evasion:file_permissions_modification"
+REMOVAL = "defense_evasion:indicator_removal"
+FILES = "discovery:file_and_directory_discovery"
+SYSTEM = "discovery:system_information_discovery"
+PROCESSES = "discovery:process_discovery"
+LOCAL_DATA = "collection:data_from_local_system"
+PERMISSION_TOOLS = ("chmod", "chown", "chgrp", "icacls", "cacls", "takeown", "setfacl", "chattr")
+FILE_TOOLS = ("dir", "ls", "find", "get-childitem", "gci", "tree", "locate", "fd", "where", "where.exe", "test-path")
+SYSTEM_TOOLS = (
+    "systeminfo", "systeminfo.exe", "uname", "ver", "hostname", "dmidecode", "lscpu", "lsb_release", "sw_vers", "lshw", "lspci", "lsusb", "lsmod",
+    "get-computerinfo", "get-wmiobject",
+)
+SYSTEM_FILES = ("/etc/os-release", "/proc/version", "/proc/cpuinfo", "/etc/hostname", "/etc/machine-id")
+PROCESS_TOOLS = ("ps", "tasklist", "tasklist.exe", "get-process", "top", "htop", "pgrep")
+BUILTINS = (
+    "echo", "printf", "write-host", "write-output", "write-error", "write-verbose", "write-debug", "write-information", "invoke-expression", "iex", "invoke-command",
+    "icm", "invoke-webrequest", "iwr", "invoke-restmethod", "irm", "start-process", "new-object", "set-variable", "if", "for", "while", "foreach", "switch", "try",
+    "set", "export", "eval", "exec", "source", "alias",
+)
+NET_CLASSES = {
+    "user": ACCOUNTS, "localgroup": ACCOUNTS, "group": ACCOUNTS, "view": REMOTE_SYSTEMS, "share": NETWORK, "use": REMOTE, "start": SERVICE, "stop": IMPAIR,
+    "session": REMOTE_SYSTEMS, "accounts": ACCOUNTS, "config": NETWORK,
+}
+
+
+@dataclass(frozen=True)
+class Rule:
+    name: str
+    strong: bool
+    when: Column
+    #: (class, weight or a column of it, further condition or None, whether it becomes a candidate)
+    adds: tuple[tuple[str | Column, float, Column | None, bool], ...]
+
+
+def catalogue(p: Column, s: Column) -> list[Rule]:
+    """The rules, in order, over the parsed struct and the feature struct."""
+    exe, text = p["executable"], F.lower(p["text"])
+    sub = F.lower(F.try_element_at(p["positional_args"], F.lit(1)))
+    writes = s["writes_executable_like_file"]
+    net = F.try_element_at(F.create_map(*[F.lit(x) for kv in NET_CLASSES.items() for x in kv]), F.coalesce(sub, F.lit("")))
+    reads = exe.isin("cat", "type", "get-content") & F.exists(F.array(*map(F.lit, SYSTEM_FILES)), lambda x: F.contains(text, x))
+    wmic = (exe == "wmic") & (sub == "process")
+    return [
+        Rule("download_ingress", True, s["downloads_remote_resource"], ((INGRESS, 0.75, None, True), (INGRESS, 0.10, writes, True), (PROXY, 0.0, writes, True))),
+        Rule("encoded_execution", True, s["uses_encoded_payload"] | s["uses_obfuscation"], (
+            (OBFUSCATED, 0.75, None, True), (SCRIPTING, 0.60, None, True), (PROXY, 0.50, None, True), (SCRIPTING, 0.20, s["executes_inline_code"], True),
+            (INGRESS, 0.55, s["downloads_remote_resource"], False),
+        )),
+        Rule("wmi_remote_execution", True, wmic, ((WMI, 0.80, None, True), (PROXY, 0.50, None, True), (WMI, 0.15, F.contains(text, F.lit("create")), True))),
+        Rule("service_creation", True, s["creates_or_modifies_service"], ((SERVICE, 0.80, None, True), (SERVICE, 0.10, writes, True))),
+        Rule("remote_session", False, exe.isin("ssh", "scp", "sftp", "rsync") & (s["remote_execution_or_session"] | s["transfers_file_to_remote"]), (
+            (REMOTE, 0.55, None, True), (EXFILTRATION, 0.40, s["transfers_file_to_remote"] & writes, True),
+        )),
+        Rule("network_discovery", False, s["enumerates_network_config"], ((NETWORK, 0.45, None, True),)),
+        Rule("permission_modification", True, exe.isin(*PERMISSION_TOOLS), ((PERMISSIONS, 0.50, None, True),)),
+        Rule("file_dir_discovery", False, exe.isin(*FILE_TOOLS) & ~((exe == "find") & F.contains(text, F.lit("-perm"))), ((FILES, 0.35, None, True),)),
+        Rule("system_info_discovery", False, exe.isin(*SYSTEM_TOOLS) | reads, ((SYSTEM, 0.40, None, True),)),
+        Rule("process_discovery", False, exe.isin(*PROCESS_TOOLS) | (wmic & ~F.contains(text, F.lit("call")) & ~F.contains(text, F.lit("create"))), ((PROCESSES, 0.40, None, True),)),
+        Rule("file_copy", False, exe.isin("copy", "cp", "xcopy", "robocopy", "move", "mv", "ren", "rename"), ((LOCAL_DATA, 0.20, None, True),)),
+        Rule("file_deletion", False, exe.isin("rm", "del", "erase", "shred", "unlink"), ((REMOVAL, 0.20, None, True),)),
+        Rule("directory_creation", False, exe.isin("mkdir", "md"), ((SCRIPTING, 0.15, None, True),)),
+        Rule("net_command", False, exe == "net", ((net, 0.35, net.isNotNull(), True), (SCRIPTING, 0.15, net.isNull(), True))),
+        Rule("scripting_builtins", False, exe.isin(*BUILTINS), ((SCRIPTING, 0.15, None, True),)),
+    ]
+
+
+def rule_result(p: Column, s: Column) -> Column:
+    """struct(fired_rules, candidates, priors (capped at 1), rule_strength)."""
+    rules = catalogue(p, s)
+    fires = {r.name: F.coalesce(r.when, F.lit(False)) for r in rules}
+    fired = F.array_compact(F.array(*[F.when(fires[r.name], F.lit(r.name)) for r in rules]))
+    effects = F.array_compact(F.array(*[
+        F.when(fires[r.name] & (F.lit(True) if also is None else F.coalesce(also, F.lit(False))), F.struct((F.lit(c) if isinstance(c, str) else c).alias("c"), F.lit(float(w)).alias("w"), F.lit(cand).alias("k")))
+        for r in rules for c, w, also, cand in r.adds
+    ]))
+    classes = F.array_distinct(F.transform(F.filter(effects, lambda e: e["w"] > 0), lambda e: e["c"]))
+    prior = lambda c: F.least(F.lit(1.0), F.aggregate(effects, F.lit(0.0), lambda a, e: a + F.when(e["c"] == c, e["w"]).otherwise(0.0)))
+    strong = F.arrays_overlap(fired, F.array(*[F.lit(r.name) for r in rules if r.strong]))
+    return F.struct(
+        fired.alias("fired_rules"), F.array_distinct(F.transform(F.filter(effects, lambda e: e["k"]), lambda e: e["c"])).alias("candidates"),
+        F.map_from_arrays(classes, F.transform(classes, prior)).alias("priors"),
+        F.when(strong, "strong").when(F.size(fired) > 0, "weak").otherwise("none").alias("rule_strength"),
+    )

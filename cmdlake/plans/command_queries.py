@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cmdlake.functions import decoding, parsing, routing, semantics, text
+from cmdlake.functions import decoding, parsing, routing, rules, semantics, text
 from cmdlake.operators import baseline
 from cmdlake.sources.commands import COMMANDS_SQL, commands, history_command, last_comma
 
@@ -287,3 +287,24 @@ def par13_interpreters(spark, sf_dir):
 def ioc3_refanged_urls(spark, sf_dir):
     fanged = F.replace(F.replace(F.col("command"), F.lit("https"), F.lit("hxxps")), F.lit("example.org"), F.lit("example[.]org"))
     return commands(spark, sf_dir).select("event_id", F.array_join(parsing.refanged_urls(fanged), " ").alias("urls"))
+
+
+@query(
+    WITH + ", t AS (SELECT event_id, event_id % 13 AS k FROM commands), e(k, class, prior) AS (VALUES "
+    "(0, 'discovery:file_and_directory_discovery', 0.35), (1, 'command_and_control:ingress_tool_transfer', 0.85), (2, 'lateral_movement:remote_services', 0.55), "
+    "(5, 'persistence:create_modify_system_process', 0.8), (8, 'command_and_control:ingress_tool_transfer', 0.85), (9, 'execution:command_and_scripting_interpreter', 0.15), "
+    "(11, 'lateral_movement:remote_services', 0.55), (12, 'discovery:account_discovery', 0.35)) "
+    "SELECT event_id, class, CAST(prior AS DOUBLE) AS prior FROM t JOIN e USING (k)"
+)
+def rul_priors(spark, sf_dir):
+    rows = parsed(spark, sf_dir).withColumn("s", semantics.features(F.col("p"))).withColumn("r", rules.rule_result(F.col("p"), F.col("s")))
+    return rows.select("event_id", F.explode("r.priors").alias("class", "prior")).select("event_id", "class", F.round("prior", 6).alias("prior"))
+
+
+@query(
+    WITH + " SELECT CASE event_id % 13 WHEN 1 THEN 'strong' WHEN 5 THEN 'strong' WHEN 8 THEN 'strong' WHEN 0 THEN 'weak' WHEN 2 THEN 'weak' WHEN 9 THEN 'weak' WHEN 11 THEN 'weak' WHEN 12 THEN 'weak' ELSE 'none' END AS rule_strength, "
+    "count(*) AS n FROM commands GROUP BY 1"
+)
+def rul_strength(spark, sf_dir):
+    rows = parsed(spark, sf_dir).withColumn("s", semantics.features(F.col("p"))).withColumn("r", rules.rule_result(F.col("p"), F.col("s")))
+    return rows.groupBy(F.col("r.rule_strength").alias("rule_strength")).agg(F.count("*").alias("n"))
