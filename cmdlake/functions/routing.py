@@ -23,10 +23,22 @@ PATTERNS = {
     "has_remote_transfer": r"^\s*(?:scp|sftp|ftp|rsync)\b.*[@:][^ ]+|^\s*(?:curl|wget)\b.*(?:--upload-file|-T|--data-binary\s+@|--form\s+@|-d\s+@)",
     "has_credential_dumping_pattern": r"(?:/etc/shadow\b|mimikatz|sekurlsa|hashdump|lsass|sam hive|unshadow\b|john\b.*rockyou|secretsdump)",
     "has_exfil_data_movement": r"(?m)(?:^\s*curl\b.*(?:-X\s+POST|--request\s+POST)\b.*-d\s+@|^\s*tar\b.*(?:/home/[^\s]+/\.ssh|/root/\.ssh|/etc/shadow)|^\s*(?:scp|rsync)\b.*(?:/etc/passwd|/etc/shadow).*@|^\s*(?:curl|wget)\b.*https?://(?:10\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.168\.)\S+)",
-    "has_persistence_change": r"(?:crontab\s+-(?:[^l]|l\w)|echo\s+.*\|\s*crontab\b|schtasks\s+/create\b|currentversion\\run\b|authorized_keys\b.*>>|systemctl\s+enable\b|rc\.local|(?:cp|mv|install|tee)\b.*\b/etc/cron\.(?:d|daily|hourly|monthly|weekly)\b|(?:echo|printf)\b.*>\s*/etc/cron\.(?:d|daily|hourly|monthly|weekly)\b|at\s+\d)",
+    "has_persistence_change": r"(?:crontab\s+-(?!l\b)|echo\s+.*\|\s*crontab\b|schtasks\s+/create\b|currentversion\\run\b|authorized_keys\b.*>>|systemctl\s+enable\b|rc\.local|(?:cp|mv|install|tee)\b.*\b/etc/cron\.(?:d|daily|hourly|monthly|weekly)\b|(?:echo|printf)\b.*>\s*/etc/cron\.(?:d|daily|hourly|monthly|weekly)\b|at\s+\d)",
+    "has_reverse_shell_pattern": r"(?s)(?:/dev/tcp/|\bnc(?:at)?\b.*(?:-e|-c)\s*/bin/(?:ba)?sh\b|mkfifo\b.*\bnc(?:at)?\b|socket\.socket\(\).*connect\(|tcpsocket\.open\(|fsockopen\(|s_client\b.*\|\s*/bin/(?:ba)?sh\b)",
+    "has_offensive_tooling": r"^\s*(?:nmap|nikto|hydra|sqlmap|masscan|zmap|enum4linux|crackmapexec|responder|impacket-|msfconsole|mimikatz(?:\.exe)?|john\b|hashcat\b|linpeas(?:\.sh)?|pspy\d*|bloodhound-python)\b",
+    "has_destructive_write": r"(?:\bdd\b.*(?:if=/dev/(?:zero|urandom)).*(?:of=/dev/(?:sd[a-z]\d*|nvme\d+n\d+(?:p\d+)?|vd[a-z]\d*))|\bmkfs(?:\.[a-z0-9_+-]+)?\b\s+/dev/|\brm\s+-rf\s+/+(?:\s|$)|shred\b.*\s+/dev/|\bwipefs\s+-a\b|\buserdel\s+-r\b|\bpkill\s+-9\s+(?:sshd|init|systemd)\b|\bkill\s+-9\s+1\b)",
+    "has_archive_or_bulk_copy": r"^\s*(?:tar|zip|7z|rar|rsync)\b.*(?:/etc|/var/log|/home|/opt|/srv)|^\s*cp\b.*(?:/etc(?:/|\s)|/var/log).*(?:/etc|/var/log|/home|/opt|/srv)|^\s*find\b(?!.*-maxdepth\s+[12]\b).*(?:/etc|/var/log|/home).*(?:-name|-type)",
+    "has_exploit_or_attack_tooling": r"^\s*(?:hydra|sqlmap|nikto|msfconsole|mimikatz(?:\.exe)?|john\b|hashcat\b|responder\b|ettercap\b|arpspoof\b|crackmapexec\b|impacket-|metasploit\b|secretsdump\b|mshta\b)",
+    "has_enumeration_recon": r"(?m)(?:^\s*(?:ss|netstat)\s+-[a-zA-Z]*(?:a|p)[a-zA-Z]*\b|^\s*(?:last(?:\s+-\d+)?|w|who)\s*$|^\s*(?:ls|cat|find|stat)\b.*/etc/cron|^\s*ps\s+aux(?:ww)?\s*$|^\s*ls\b.*(?:/dev/shm|/root)\b|^\s*env\s*\|\s*grep\s+-i\s*(?:secret|token|key|password|cred)|^\s*(?:iptables\s+-L|aa-status|sestatus|apparmor_status)\b|^\s*sudo\s+-l\b|^\s*(?:systemd-detect-virt|dmidecode)\b|\bdmesg\b.*\bgrep\b.*\b(?:virtual|vbox|vmware|hyperv|qemu|kvm)\b|^\s*ip\s+route\s*$|^\s*python3?\s+-m\s+http\.server\s+(?!127\.0\.0\.1)\d|^\s*cat\s+/proc/version\b|^\s*getfacl\b.*(?:/etc/shadow|/etc/sudoers)|^\s*lsmod\b.*\|\s*grep\b.*\b(?:vbox|vmware|hyperv)\b)",
+}
+#: The same for engines without look-ahead, over commands that hold neither find -maxdepth nor a local http.server.
+WITHOUT_LOOKAHEAD = {
+    "has_persistence_change": (r"crontab\s+-(?!l\b)", r"crontab\s+-(?:[^l]|l\w|$)"),
+    "has_archive_or_bulk_copy": (r"(?!.*-maxdepth\s+[12]\b)", ""),
+    "has_enumeration_recon": (r"(?!127\.0\.0\.1)", ""),
 }
 SUSPICIOUS = (
-    "has_pipe_to_shell", "has_base64_or_encoded_exec", "has_eval_exec", "has_shell_spawn", "has_sensitive_file_read", "has_tunneling", "has_persistence_change",
+    "has_reverse_shell_pattern", "has_offensive_tooling", "has_destructive_write", "has_exploit_or_attack_tooling", "has_pipe_to_shell", "has_base64_or_encoded_exec", "has_eval_exec", "has_shell_spawn", "has_sensitive_file_read", "has_tunneling", "has_persistence_change",
     "has_privilege_escalation", "has_defense_impairment", "has_credential_dumping_pattern", "has_exfil_data_movement", "has_remote_transfer",
 )
 

@@ -227,18 +227,21 @@ def flagship_triage(spark, sf_dir):
 _VIEW = r"lower(regexp_replace(command, '^\s+|\s+$', '', 'g'))"
 
 
+_PLAIN = {name: p.replace(*routing.WITHOUT_LOOKAHEAD.get(name, ("", ""))) for name, p in routing.PATTERNS.items()}
+
+
 def _re(pattern: str) -> str:
     flags = "s" if pattern.startswith("(?s)") else ""
     return f"regexp_matches({_VIEW}, '(?i{flags}{'m' if pattern.startswith('(?m)') else ''}){pattern.removeprefix('(?s)').removeprefix('(?m)')}')"
 
 
-@query(WITH + " SELECT event_id, " + ", ".join(f"{_re(p)} AS {name}" for name, p in routing.PATTERNS.items()) + " FROM commands")
+@query(WITH + " SELECT event_id, " + ", ".join(f"{_re(p)} AS {name}" for name, p in _PLAIN.items()) + " FROM commands")
 def rte1_routing_features(spark, sf_dir):
     rows = commands(spark, sf_dir).withColumn("f", routing.routing_features(F.col("command")))
     return rows.select("event_id", "f.*")
 
 
-_SUSPECT = " OR ".join(_re(routing.PATTERNS[name]) for name in routing.SUSPICIOUS)
+_SUSPECT = " OR ".join(_re(_PLAIN[name]) for name in routing.SUSPICIOUS)
 
 
 @query(
