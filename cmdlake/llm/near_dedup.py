@@ -31,7 +31,9 @@ from cmdlake.llm.common import cut
 from cmdlake.llm.components import components
 
 SHINGLE, SKETCH, LEAST_SHARED = 5, 32, 12
-SHORT_LIST, BLOCK, PIVOT_ROUNDS = 24, 256, 2
+SHORT_LIST, BLOCK, PIVOT_ROUNDS = 24, 128, 2
+#: Values in the wider sketch that blocks compare (a whole set if it has no more), and how many of them similar sets share at least.
+WIDE, LEAST_WIDE = 256, 165
 #: Stands for a null doc_id: larger than any other.
 LAST = 2**63 - 1
 
@@ -67,7 +69,7 @@ def describe(docs: DataFrame, width: int = SHINGLE, k: int = SKETCH) -> DataFram
 def least_shared(n, share: int, k: int):
     """Sketch values that a set of n shares with any set similar enough (see the module's text)."""
     exact = F.ceil(n * share / 100) - F.greatest(F.lit(0), F.floor(n * 100 / share) - k)
-    return F.when(n >= k, F.lit(LEAST_SHARED)).otherwise(F.greatest(F.lit(1), exact)).cast("int")
+    return F.when(n >= k, F.lit(LEAST_SHARED if share >= 85 else LEAST_SHARED - 2)).otherwise(F.greatest(F.lit(1), exact)).cast("int")
 
 
 def near_components(docs: DataFrame, share: int = 85, width: int = SHINGLE, k: int = SKETCH) -> DataFrame:
@@ -95,10 +97,10 @@ def near_components(docs: DataFrame, share: int = 85, width: int = SHINGLE, k: i
         for pdf in frames:
             for part in repeats.batches(pdf):
                 sets = shingle_sets([t.encode() for t in part["text"]], width)
-                yield pd.DataFrame({"c": part["c"].to_numpy(), "body": [s.tobytes() for s in sets]})
+                yield pd.DataFrame({"c": part["c"].to_numpy(), "n": [len(s) for s in sets], "body": [s.tobytes() for s in sets]})
 
     chosen = repeats.keyed(docs).join(members.select("d", "k", "c"), ["d", "k"]).select("text", "c")
-    full = repeats.written(chosen.mapInPandas(pull, "c long, body binary").dropDuplicates(["c"]))
+    full = repeats.written(chosen.mapInPandas(pull, "c long, n long, body binary").dropDuplicates(["c"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those whose full sets are similar enough."""
@@ -153,7 +155,9 @@ def near_components(docs: DataFrame, share: int = 85, width: int = SHINGLE, k: i
         sized.join(mixed, "v", "left")
         .withColumn("big", F.when(F.col("own") >= BLOCK, F.col("comp")))
         .withColumn("block", F.pmod(F.xxhash64("c"), F.when(F.col("big").isNotNull(), F.ceil(F.col("own") / BLOCK)).otherwise(F.ceil(F.col("others") / BLOCK))))
-        .join(light, "c").groupBy("v", "big", "block").agg(F.collect_list(F.struct("c", "comp", "n", "sketch")).alias("has"))
+        .join(full.select("c", "n", F.substring("body", 1, 8 * WIDE).alias("wide")), "c")
+        .join(long_.groupBy("c").agg(F.collect_set("v").alias("lists")), "c")
+        .groupBy("v", "big", "block").agg(F.collect_list(F.struct("c", "comp", "n", "wide", "lists")).alias("has"))
         .withColumn("name", F.xxhash64("big", "block"))
     )
     other = blocks.select("v", F.col("big").alias("big_b"), F.col("name").alias("name_b"), F.col("has").alias("has_b"))
@@ -161,22 +165,28 @@ def near_components(docs: DataFrame, share: int = 85, width: int = SHINGLE, k: i
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for one, two in zip(pdf["has"], pdf["has_b"], strict=True):
+            for v, one, two in zip(pdf["v"], pdf["has"], pdf["has_b"], strict=True):
                 ca, cb = (np.array([r["c"] for r in z]) for z in (one, two))
                 pa, pb = (np.array([r["comp"] for r in z]) for z in (one, two))
                 na, nb = (np.array([r["n"] for r in z]) for z in (one, two))
-                names = np.unique(np.concatenate([r["sketch"] for z in (one, two) for r in z]))
-                has = [np.zeros((len(z), len(names)), "f4") for z in (one, two)]
-                for m, z in zip(has, (one, two), strict=True):
-                    for i, r in enumerate(z):
-                        m[i, np.searchsorted(names, r["sketch"])] = 1
-                shared = has[0] @ has[1].T
-                size = np.minimum.outer(na, nb) * 100 >= np.maximum.outer(na, nb) * share
-                i, j = np.nonzero((shared >= 1) & size & (pa[:, None] != pb[None]))
-                enough = shared[i, j] >= np.minimum(LEAST_SHARED, np.ceil(np.minimum(na[i], nb[j]) * share / 100) // 2)
-                yield pd.DataFrame({"a": np.minimum(ca[i], cb[j])[enough], "b": np.maximum(ca[i], cb[j])[enough]})
-
-    rest = rest.union(met.select("has", "has_b").mapInPandas(compare, "a long, b long").distinct())
+                wide = [[np.frombuffer(r["wide"], "u8") for r in z] for z in (one, two)]
+                names = np.unique(np.concatenate([x[:SKETCH] for z in wide for x in z]))
+                has = [np.zeros((len(z), len(names)), "f4") for z in wide]
+                for m, z in zip(has, wide, strict=True):
+                    for i, x in enumerate(z):
+                        m[i, np.searchsorted(names, x[:SKETCH])] = 1
+                low, high = np.minimum.outer(na, nb), np.maximum.outer(na, nb)
+                enough = has[0] @ has[1].T >= np.where(low >= SKETCH, LEAST_SHARED - 2, 1)
+                lists, out = [[set(r["lists"]) for r in z] for z in (one, two)], []
+                for i, j in zip(*np.nonzero(enough & (100 * low >= share * high) & (pa[:, None] != pb[None])), strict=True):
+                    # a pair that meets in several lists is judged in the smallest of them
+                    if min(lists[0][i] & lists[1][j]) == v:
+                        both = len(np.intersect1d(wide[0][i], wide[1][j], assume_unique=True))
+                        if 100 * both >= share * (na[i] + nb[j] - both) if high[i, j] <= WIDE else both >= LEAST_WIDE:
+                            out.append((min(ca[i], cb[j]), max(ca[i], cb[j])))
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    rest = rest.union(met.select("v", "has", "has_b").mapInPandas(compare, "a long, b long").distinct())
     joined = components(links.union(verified(rest)))
     least = (
         joined.join(ids.groupBy("c").agg(F.min("d").alias("d")), joined["node"] == F.col("c"))
@@ -192,9 +202,9 @@ def near_components(docs: DataFrame, share: int = 85, width: int = SHINGLE, k: i
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, share: int = 80) -> DataFrame:
     """The documents that near_components keeps, all columns; of fully repeated rows one stays."""
-    kept = near_components(docs).filter("kept").select(F.coalesce("doc_id", F.lit(repeats.NONE)).alias("__d"), F.col("row_hash").alias("__k")).distinct()
+    kept = near_components(docs, share).filter("kept").select(F.coalesce("doc_id", F.lit(repeats.NONE)).alias("__d"), F.col("row_hash").alias("__k")).distinct()
     named = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NONE)), "__k": F.xxhash64("doc_id", "text")})
     nth = F.row_number().over(Window.partitionBy("__d", "__k").orderBy(F.lit(0)))
     return named.join(kept, ["__d", "__k"], "left_semi").withColumn("__n", nth).filter("__n = 1").select(*docs.columns)
