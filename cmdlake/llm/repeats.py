@@ -28,7 +28,7 @@ from cmdlake.llm.common import cut
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 NONE = -(2**63)
-CROWDED, SHARD_SYMBOLS = 2000, 1_500_000
+CROWDED, SHARD_SYMBOLS = 10_000, 1_200_000
 #: Window starts taken at once; positions have 24 bits.
 BLOCK = 1 << 22
 _MIX = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, 256, dtype="u8")
@@ -236,15 +236,34 @@ def covered(spans: list | None, length: int, width: int) -> np.ndarray:
 
 
 def ranked(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Order of all suffixes by their first ``depth`` symbols at least, by prefix doubling."""
-    n = len(symbols)
-    rank, reach = np.unique(symbols, return_inverse=True)[1].astype("u8") + np.uint64(1), 1
-    while True:
-        key = rank << np.uint64(32)
-        key[: n - reach] |= rank[reach:] if reach < n else 0
-        order = np.argsort(key)
-        step = np.concatenate(([1], (key[order][1:] != key[order][:-1]).astype("u8")))
-        rank[order] = np.cumsum(step, dtype="u8")
+    """Order of all suffixes by their first ``depth`` symbols at least.
+
+    A first sort takes as many symbols as 64 bits hold; then the compared length doubles, and
+    only suffixes that still tie are sorted again.  Ranks are places of the first of a tie.
+    """
+    n, bits = len(symbols), max(1, int(symbols.max(initial=0)).bit_length())
+    reach = max(1, min(depth, 63 // bits))
+    key = np.zeros(n, "u8")
+    for k in range(reach):
+        key <<= np.uint64(bits)
+        key[: max(0, n - k)] |= symbols[k:].astype("u8")
+    order = np.argsort(key)
+    head = np.concatenate(([True], key[order][1:] != key[order][:-1]))
+    rank = np.empty(n, "u8")
+    place = np.arange(n, dtype="u8")
+    rank[order] = np.maximum.accumulate(np.where(head, place, 0))
+    while reach < depth:
+        tied = np.flatnonzero(~(head & np.concatenate((head[1:], [True]))))
+        if not len(tied):
+            break
+        at = order[tied]
+        after = at + reach
+        key = rank[at] << np.uint64(32)
+        inside = after < n
+        key[inside] |= rank[after[inside]] + np.uint64(1)
+        by = np.argsort(key)
+        order[tied], key = at[by], key[by]
+        head[tied] = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[order[tied]] = np.maximum.accumulate(np.where(head[tied], tied, 0)).astype("u8")
         reach *= 2
-        if reach >= depth or rank[order[-1]] == n:
-            return order
+    return order

@@ -28,7 +28,7 @@ WIDTH, GRAM = 200, 24
 def interval_starts(bwt: np.ndarray, depth: int) -> np.ndarray:
     """Where, in suffix order, the common prefix with the suffix before is shorter than ``depth``."""
     n = len(bwt)
-    order = np.argsort(bwt, kind="stable")
+    order = np.argsort(bwt.astype("u2"), kind="stable")
     forward = np.empty(n, "i8")
     forward[order] = np.arange(n)  # place of the suffix one symbol longer
     known = np.zeros(n, bool)
@@ -40,9 +40,10 @@ def interval_starts(bwt: np.ndarray, depth: int) -> np.ndarray:
         if len(lo):
             which = np.repeat(np.arange(len(lo)), size)
             place = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            key = which * 257 + bwt[place]
-            by = np.argsort(key, kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
+            # within an interval, places of longer suffixes ascend by byte and then as before
+            by = np.argsort(which << 32 | forward[place])
+            byte, of = bwt[place[by]], which[by]
+            first = np.flatnonzero(np.concatenate(([True], (byte[1:] != byte[:-1]) | (of[1:] != of[:-1]))))
             last = np.concatenate((first[1:], [len(by)])) - 1
             start.append(forward[place[by[first]]])
             end.append(forward[place[by[last]]])
