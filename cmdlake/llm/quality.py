@@ -2,15 +2,14 @@
 
 A public byte-level vocabulary measures characters per token, the share of tokens that are
 not whole characters (byte fallback) and the entropy of the token distribution of each whole
-text.  A text is rejected if it has enough tokens to judge and a figure lies outside its
-script's band.  Null and empty texts have no words and fail the base rule.  Repeated rows
-are judged alike.
+text.  A text of any length is rejected if a figure lies outside its script's band; what
+entropy is asked for grows with the number of tokens.  Null and empty texts have no words and
+fail the base rule.  Repeated rows are judged alike.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 
 import numpy as np
@@ -21,11 +20,40 @@ from pyspark.sql import functions as F
 
 from cmdlake.llm.vocab import default_path
 
-#: By script: least and most characters a token, largest byte-fallback share, least entropy in bits.
-BANDS = {"latin": (1.2, 9.0, 0.25, 2.5), "other": (0.2, 9.0, 0.95, 2.5)}
-#: Fewer tokens than this are not judged by fertility.
-LEAST_TOKENS = 32
-_LATIN, _LETTER = re.compile(r"[A-Za-zÀ-ɏ]"), re.compile(r"[^\W\d_]")
+#: By script: least and most characters a token, largest byte-fallback share, share of LEAST_BITS asked for.
+#: The least figure lies between running text and random letters or symbol noise of the script (README).
+BANDS = {
+    "latin": (2.0, 7.0, 0.1, 1.0), "cyrillic": (1.7, 7.0, 0.1, 1.0), "greek": (1.5, 7.0, 0.12, 1.0), "arabic": (1.4, 7.0, 0.2, 1.0), "hebrew": (1.5, 7.0, 0.3, 1.0),
+    "devanagari": (0.8, 5.0, 0.7, 0.75), "indic": (0.45, 5.0, 0.95, 0.6), "thai": (0.8, 5.0, 0.4, 0.75), "kana": (0.8, 5.0, 0.4, 1.0), "hangul": (1.1, 5.0, 0.6, 1.0), "han": (0.6, 4.0, 0.55, 1.0),
+    "other": (0.36, 7.0, 1.0, 0.5),
+}
+#: Least entropy in bits by the binary logarithm of the number of tokens, straight in between.
+LEAST_BITS = ((0, 3, 4.5, 5, 6, 7, 8, 9, 10, 11, 13), (0, 2.3, 3.7, 4.0, 4.6, 5.35, 5.85, 6.1, 6.25, 6.35, 6.5))
+_BLOCKS = (
+    ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("arabic", 0xFB50, 0xFEFC),
+    ("devanagari", 0x900, 0x97F), ("indic", 0x980, 0xDFF), ("thai", 0xE00, 0xE7F), ("hangul", 0x1100, 0x11FF), ("hangul", 0xAC00, 0xD7A3), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("han", 0xF900, 0xFAFF),
+)
+_SCRIPTS = list(BANDS)
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """The script of each letter of the basic plane, by position in BANDS; the last number stands for what is no letter."""
+    found = np.fromiter((len(_SCRIPTS) - 1 if chr(i).isalpha() else len(_SCRIPTS) for i in range(1 << 16)), "u1", 1 << 16)
+    for name, first, last in _BLOCKS:
+        part = found[first : last + 1]
+        part[part < len(_SCRIPTS)] = _SCRIPTS.index(name)
+    return found
+
+
+def script_of(text: str) -> str:
+    """The script of most letters; texts without letters are held to the Latin band."""
+    if text.isascii():
+        return "latin"
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    n = np.bincount(_letters()[points[points < 1 << 16]], minlength=len(_SCRIPTS) + 1)[:-1]
+    n[_SCRIPTS.index("han")] += int(((points >= 0x20000) & (points < 0x40000)).sum())
+    return _SCRIPTS[int(n.argmax())]
 
 
 @lru_cache(maxsize=2)
@@ -84,11 +112,11 @@ def judge(text: str | None, vocab: tuple[tiktoken.Encoding, np.ndarray], bands:
     n, repeat = len(words), repeated_words(words)
     failed = n < 10 or 100 * repeat > 20 * n
     tokens, per, share, bits = fertility(text, vocab)
-    script = "latin" if 2 * len(_LATIN.findall(text)) >= len(_LETTER.findall(text)) else "other"
+    script = script_of(text)
     low, high, most, least = bands[script]
-    out = tokens >= LEAST_TOKENS and not (low <= per <= high and share <= most and bits >= least)
+    out = tokens > 0 and not (low <= per <= high and share <= most and bits >= least * np.interp(np.log2(tokens), *LEAST_BITS))
     blank = sum(map(text.count, " \t\n\v\f\r"))
-    return n, len(text) - blank, sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeat, failed, not (failed or out), script, tokens, per, share, bits
+    return n, len(text) - blank, sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeat, failed, not (failed or bool(out)), script, tokens, per, share, bits
 
 
 def quality_of(text: Column, bands: dict = BANDS, vocab_path: str | None = None) -> Column:

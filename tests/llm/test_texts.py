@@ -179,6 +179,34 @@ def test_quality(spark, docs, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_bands(spark):
+    r = random.Random(7)
+    noise = lambda signs, n: " ".join("".join(r.choices(signs, k=6)) for _ in range(n))
+    clean = {
+        "latin": "All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience and should act towards one another.",
+        "cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в духе братства.",
+        "greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση.",
+        "devanagari": "सभी मनुष्यों को गौरव और अधिकारों के मामले में जन्मजात स्वतन्त्रता और समानता प्राप्त है। उन्हें बुद्धि और अन्तरात्मा की देन प्राप्त है।",
+        "hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다. 인간은 천부적으로 이성과 양심을 부여받았으며 서로 행동하여야 한다.",
+    }
+    signs = ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz0123456789", "!@#$%^&*()-_=+;:,.<>/?|~", "абвгдежзиклмнопрстуфхцчшыья", "αβγδεζηθικλμνξοπρστυφχψω", "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"]
+    bad = [noise(s, n) for s in signs for n in (10, 12, 40, 300)]
+    bad += [" ".join(w + r.choice(("***", "$$$", "%%%", "&&&", "###")) for w in t.split()) for t in list(clean.values())[:2]]
+    rows = [(k, t) for k, t in enumerate([*clean.values(), *bad])]
+    got = {x.doc_id: x for x in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].script for k in range(len(clean))] == list(clean)
+    assert all(got[k].kept for k in range(len(clean)))
+    assert all(not got[k].base_failed for k, _ in rows)
+    assert [t for k, t in rows[len(clean) :] if got[k].kept] == []
+
+
+def test_quality_labelled(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = quality.quality(spark.read.parquet(f"{sf}/documents.parquet")).filter("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    kept = {(x.quality, x.kept): x["count"] for x in rows.groupBy("quality", "kept").count().collect()}
+    assert kept.get((1, False), 0) == 0 and kept[0, False] > 9 * kept.get((0, True), 0)
+
+
 def test_language(spark, docs, empty):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(d.filter("doc_id % 3 <> 1").select("text", "lang"))
