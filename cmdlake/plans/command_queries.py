@@ -237,7 +237,7 @@ def _re(pattern: str) -> str:
 
 @query(WITH + " SELECT event_id, " + ", ".join(f"{_re(p)} AS {name}" for name, p in _PLAIN.items()) + " FROM commands")
 def rte1_routing_features(spark, sf_dir):
-    rows = commands(spark, sf_dir).withColumn("f", routing.routing_features(F.col("command")))
+    rows = decoding.decode(commands(spark, sf_dir)).withColumn("f", routing.routing_features(F.col("command"), F.col("decode.final")))
     return rows.select("event_id", "f.*")
 
 
@@ -249,7 +249,8 @@ _SUSPECT = " OR ".join(_re(_PLAIN[name]) for name in routing.SUSPICIOUS)
     "SELECT event_id, CASE WHEN forced OR benign < 0.5 THEN 'Suspicious' ELSE 'Benign' END AS label, round(CASE WHEN forced THEN greatest(1 - benign, 0.9) ELSE greatest(1 - benign, benign) END, 6) AS confidence FROM f"
 )
 def rte2_rte5_route(spark, sf_dir):
-    rows = commands(spark, sf_dir).withColumn("s", routing.suspicious_features(routing.routing_features(F.col("command"))))
+    views = F.col("command"), F.col("decode.final")
+    rows = decoding.decode(commands(spark, sf_dir)).withColumn("s", routing.suspicious_features(routing.routing_features(*views)))
     r = rows.withColumn("r", routing.route((F.col("value") % 100) / 100.0, F.col("s")))
     return r.select("event_id", "r.label", F.round("r.confidence", 6).alias("confidence"))
 
