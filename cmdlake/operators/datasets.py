@@ -30,6 +30,12 @@ def without(df: DataFrame, key: Column, other: DataFrame, other_key: Column) ->
     return df.withColumn("__key", key).join(other.select(other_key.alias("__key")), "__key", "left_anti").drop("__key")
 
 
+def set_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """side, then left's columns: distinct rows of left that right holds too ('both') and those that it doesn't ('left')."""
+    both, only = left.intersect(right), left.subtract(right)
+    return both.select(F.lit("both").alias("side"), "*").unionByName(only.select(F.lit("left").alias("side"), "*"))
+
+
 def flagged(df: DataFrame, key: Column, other: DataFrame, other_key: Column, name: str) -> DataFrame:
     """Adds whether a row's key occurs in other."""
     seen = other.select(other_key.alias("__key")).distinct().withColumn(name, F.lit(True))

@@ -127,6 +127,22 @@ def dst6_template_expansion(spark, sf_dir):
     return docs(spark, sf_dir, "part").crossJoin(F.broadcast(nations)).select("p_partkey", "n_nationkey", made.alias("command"))
 
 
+@query(
+    f"WITH d AS (SELECT sha256({KEY}) AS key FROM documents), b AS (SELECT sha256({KEY}) AS key FROM benchmark) "
+    "SELECT 'both' AS side, key FROM (SELECT key FROM d INTERSECT SELECT key FROM b) UNION ALL SELECT 'left', key FROM (SELECT key FROM d EXCEPT SELECT key FROM b)"
+)
+def set2_whole_tables(spark, sf_dir):
+    digest = F.sha2(key(), 256).alias("key")
+    return datasets.set_sides(docs(spark, sf_dir).select(digest), docs(spark, sf_dir, "benchmark").select(digest))
+
+
+@query("SELECT p_partkey, n_nationkey, replace(replace('scan {part} --region {nation}', '{part}', p_name), '{nation}', n_name) AS command FROM part CROSS JOIN nation")
+def dst6_all_nations(spark, sf_dir):
+    nations = docs(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    made = F.replace(F.replace(F.lit("scan {part} --region {nation}"), F.lit("{part}"), F.col("p_name")), F.lit("{nation}"), F.col("n_name"))
+    return docs(spark, sf_dir, "part").crossJoin(F.broadcast(nations)).select("p_partkey", "n_nationkey", made.alias("command"))
+
+
 @query(LABELLED + ", c AS (SELECT label, count(*) AS n FROM d GROUP BY 1) SELECT label, n, round(sum(n) OVER () * 1.0 / (count(*) OVER () * n), 6) AS weight FROM c")
 def dst15_class_weights(spark, sf_dir):
     counts = labelled(spark, sf_dir).groupBy("label").agg(F.count("*").alias("n"))

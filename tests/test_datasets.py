@@ -14,3 +14,16 @@ def test_decontaminated_by_key(spark, tmp_path):
     sf = write(spark, tmp_path, documents=(list(enumerate(texts)), "doc_id long, text string"), benchmark=([(1, "A  passage of the benchmark.")], "item_id long, text string"))
     left = {r.doc_id for r in dataset_queries.joi1_decontaminated(spark, sf).collect()}
     assert {2, 3} <= left and not left & {0, 1}
+
+
+def test_set_sides_of_whole_tables(spark, tmp_path):
+    documents = [(i, t) for i, t in enumerate(["a b", "c", "shared", " SHARED ", "in\nboth", "a  b"])]
+    sf = write(spark, tmp_path, documents=(documents, "doc_id long, text string"), benchmark=([(1, "Shared"), (2, "in both"), (3, "other")], "item_id long, text string"))
+    sides = [r.side for r in dataset_queries.set2_whole_tables(spark, sf).collect()]
+    assert sorted(sides) == ["both", "both", "left", "left"]
+
+
+def test_all_nations(spark):
+    sf = "/root/testdata/sf0.001"
+    pairs = dataset_queries.dst6_all_nations(spark, sf).select("p_partkey", "n_nationkey").distinct().count()
+    assert pairs == spark.read.parquet(f"{sf}/part.parquet").count() * spark.read.parquet(f"{sf}/nation.parquet").count()
