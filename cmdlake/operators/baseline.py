@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST_SIGHTINGS, LEAST_DAYS, MOST_PROBABILITY = 5, 3, 0.15
+#: Bits of a key that no scope knows, and what a new parent adds to the novelty.
+UNKNOWN, LINEAGE = 15.0, 2.5
+SENSITIVE = ("persistence", "credential", "defense", "recovery", "shadow", "download", "execute", "service", "scheduled", "registry", "autorun", "remote", "bcd", "bitsadmin", "rundll", "schtasks", "wmic", "certutil")
 
 
 def scoped(df: DataFrame) -> DataFrame:
@@ -36,17 +39,22 @@ def surprise(count, total):
     return -F.log2((count + 0.5) / (total + 50.0))
 
 
-def evaluated(df: DataFrame, signature: str = "signature") -> DataFrame:
+def sensitive_effect(*texts: Column) -> Column:
+    """Whether a scan's reason, features, label, family or stage names a sensitive effect."""
+    return F.lower(F.concat_ws(" ", *texts)).rlike("|".join(SENSITIVE))
+
+
+def evaluated(df: DataFrame, signature: str = "signature", sensitive: Column | None = None) -> DataFrame:
     """What the host's baseline knew before each row: count, days, novelty of the parent, surprise, promotion.
 
-    Promotion needs enough sightings on enough days with no flagged sighting up to then.
+    Promotion needs enough sightings on enough days with no flagged (probable or sensitive) sighting up to then.
     """
     own = Window.partitionBy("host_id", signature).orderBy("ts", "event_id")
     before, upto = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
     parent = Window.partitionBy("host_id", signature, "parent_process").orderBy("ts", "event_id")
     host = Window.partitionBy("host_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     new_day = (F.row_number().over(Window.partitionBy("host_id", signature, F.to_date("ts")).orderBy("ts", "event_id")) == 1).cast("long")
-    df = df.withColumns({"new_day": new_day, "flag": (F.col("probability") >= MOST_PROBABILITY).cast("long")})
+    df = df.withColumns({"new_day": new_day, "flag": (F.coalesce(F.col("probability") >= MOST_PROBABILITY, F.lit(False)) | F.coalesce(F.lit(False) if sensitive is None else sensitive, F.lit(False))).cast("long")})
     df = df.withColumns({
         "seen_before": F.coalesce(F.count("*").over(before), F.lit(0)),
         "days_upto": F.sum("new_day").over(upto),
@@ -60,3 +68,43 @@ def evaluated(df: DataFrame, signature: str = "signature") -> DataFrame:
         "surprise_full": F.when(F.col("seen_before") > 0, F.round(surprise(F.col("seen_before"), F.col("host_before")), 3)),
     })
     return df.withColumn("known_stable", F.coalesce(F.lag("promoted_upto").over(own), F.lit(False)) & ~F.col("lineage_novel"))
+
+
+def backed_off(rows: DataFrame, history: DataFrame, keys: list[Column], name: str, signature: str = "signature") -> DataFrame:
+    """event_id, name: the surprise of the first of keys that host, else role, else fleet knows; UNKNOWN if none does."""
+    counts = scoped(history).groupBy("level", "scope_id", F.col(signature).alias("key")).agg(F.count("*").alias("n")).join(totals(history), ["level", "scope_id"])
+    tried = scoped(rows.withColumn("__keys", F.array(*keys))).select("event_id", "level", "scope_id", F.posexplode("__keys").alias("at", "key"))
+    scope = F.when(F.col("level") == "host", 0).when(F.col("level") == "role", 1).otherwise(2)
+    found = tried.join(counts, ["level", "scope_id", "key"], "left")
+    bits = F.min_by(F.when(F.col("n") > 0, surprise(F.col("n"), F.col("total"))), F.when(F.col("n") > 0, scope * len(keys) + F.col("at")))
+    return found.groupBy("event_id").agg(F.coalesce(bits, F.lit(UNKNOWN)).alias(name))
+
+
+def novelty(rows: DataFrame, history: DataFrame, full: list[Column], exe: list[Column], signature: str = "signature", sensitive: Column | None = None) -> DataFrame:
+    """Each row's status, scope, seen_count, first_seen, lineage_novel, surprises and novelty_score by a history.
+
+    full and exe are the keys to try, from the whole signature to the executable.  Role and fleet
+    learn from a sighting only if the host neither promoted nor ever flagged it.  event_id is unique in rows.
+    A column in_maintenance_window of rows, if there, silences the scores.
+    """
+    known = evaluated(history, signature, sensitive)
+    learnt = scoped(known).filter("level = 'host' or (flags_upto = 0 and not promoted_upto)")
+    stats = learnt.groupBy("level", "scope_id", F.col(signature).alias("__key")).agg(
+        F.count("*").alias("seen_count"), F.min("ts").alias("first_seen"), F.max("promoted_upto").alias("promoted"), F.max("flag").alias("flagged"),
+    )
+    parents = learnt.groupBy("level", "scope_id", F.col(signature).alias("__key"), "parent_process").agg(F.lit(True).alias("parent_known"))
+    rank = F.when(F.col("level") == "host", 0).when(F.col("level") == "role", 1).otherwise(2)
+    seen = scoped(rows.withColumn("__key", F.col(signature))).join(stats, ["level", "scope_id", "__key"]).join(parents, ["level", "scope_id", "__key", "parent_process"], "left")
+    best = seen.groupBy("event_id").agg(F.min_by(F.struct("level", "seen_count", "first_seen", "promoted", "flagged", "parent_known"), rank).alias("b"))
+    out = rows.join(best, "event_id", "left").join(backed_off(rows, history, full, "sf", signature), "event_id").join(backed_off(rows, history, exe, "se", signature), "event_id")
+    quiet = F.coalesce(F.col("in_maintenance_window"), F.lit(False)) if "in_maintenance_window" in rows.columns else F.lit(False)
+    new = ~F.coalesce(F.col("b.parent_known"), F.lit(False))
+    stable = F.coalesce((F.col("b.level") == "host") & F.col("b.promoted") & (F.col("b.flagged") == 0), F.lit(False)) & ~new
+    score = 0.7 * F.col("sf") + 0.3 * F.col("se") + F.when(new, LINEAGE).otherwise(0.0)
+    loud = lambda c, rest=0.0: F.when(quiet, F.lit(rest)).otherwise(c)
+    return out.select(
+        "event_id", F.when(quiet, "learning").when(stable, "known_stable").otherwise("rare_or_novel").alias("status"),
+        loud(F.coalesce("b.level", F.lit("fleet")), "maintenance_window").alias("scope"), loud(F.coalesce("b.seen_count", F.lit(0)), 0).alias("seen_count"),
+        F.when(~quiet, F.col("b.first_seen")).alias("first_seen"), loud(new, False).alias("lineage_novel"),
+        loud(F.round("sf", 3)).alias("surprise_full"), loud(F.round("se", 3)).alias("surprise_exe"), loud(F.round(score, 3)).alias("novelty_score"),
+    )
