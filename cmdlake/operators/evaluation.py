@@ -38,14 +38,18 @@ def probability_metrics(df: DataFrame) -> DataFrame:
 
 def classification_report(df: DataFrame) -> DataFrame:
     """Per class of target and prediction: support, precision, recall, f1; counts come from one confusion table."""
+    return _by_class(df).select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+def _by_class(df: DataFrame) -> DataFrame:
     cells = df.groupBy("target", "prediction").agg(F.count("*").alias("n"))
     ends = cells.select(F.explode(F.array(F.struct(F.col("target").alias("label"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("target") == F.col("prediction"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("prediction").alias("label"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("hit")))).alias("x")).select("x.*")
     sums = ends.groupBy("label").agg(F.sum("t").alias("support"), F.sum("p").alias("predicted"), F.sum("hit").alias("hits"))
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     h = F.col("hits")
     return sums.select(
-        "label", "support", F.round(safe(h, F.col("predicted")), 6).alias("precision"), F.round(safe(h, F.col("support")), 6).alias("recall"),
-        F.round(safe(2 * h, F.col("support") + F.col("predicted")), 6).alias("f1"),
+        "label", "support", safe(h, F.col("predicted")).alias("precision"), safe(h, F.col("support")).alias("recall"),
+        safe(2 * h, F.col("support") + F.col("predicted")).alias("f1"),
     )
 
 
@@ -97,6 +101,17 @@ def error_rates(df: DataFrame, benign: int, classes: list[int]) -> DataFrame:
     return own.agg(*[F.round(F.avg((F.col("prediction") == c).cast("double")), 6).alias(f"benign_as_{c}") for c in classes])
 
 
+def _poisson(*parts: Column) -> Column:
+    """A Poisson(1) weight from a hash."""
+    u = (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    steps, mass, total = [], 0.36787944117144233, 0.0
+    for k in range(9):
+        total += mass
+        steps.append(total)
+        mass /= k + 1
+    return sum((u > s).cast("int") for s in steps)
+
+
 def group_bootstrap(df: DataFrame, group: str, value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
     """low, high: 2.5 and 97.5 percent quantiles of the mean when whole groups are drawn anew.
 
@@ -104,13 +119,34 @@ def group_bootstrap(df: DataFrame, group: str, value: Column, draws: int = 1000,
     from a hash, so no draw is ever gathered.
     """
     sums = df.groupBy(group).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    u = (F.pmod(F.xxhash64(F.col(group), F.col("draw"), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, mass, total = [], 0.36787944117144233, 0.0
-    for k in range(9):
-        total += mass
-        steps.append(total)
-        mass /= k + 1
-    weight = sum((u > s).cast("int") for s in steps)
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", _poisson(F.col(group), F.col("draw"), F.lit(seed)))
     means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
     return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+
+
+def paired_bootstrap(left: DataFrame, right: DataFrame, key: str, group: str, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """n, delta, low, high: right's accuracy less left's on the same rows, with 2.5 and 97.5 percent quantiles over drawn groups.
+
+    Both hold key, prediction, target and left the group.  Keys, each once, and targets must be the same on both sides.
+    """
+    a = left.select(key, F.col(group).alias("__g"), F.col("target").alias("__t"), (F.col("prediction") == F.col("target")).cast("long").alias("__a"), F.lit(1).alias("__l"))
+    b = right.select(key, F.col("target").alias("__u"), (F.col("prediction") == F.col("target")).cast("long").alias("__b"), F.lit(1).alias("__r"))
+    same = F.col("__l").isNotNull() & F.col("__r").isNotNull() & F.col("__t").eqNullSafe(F.col("__u"))
+    rows = a.join(b, key, "full").withColumn("__d", F.when(same, F.col("__b") - F.col("__a")).otherwise(F.raise_error(F.lit("keys or targets of the two tables differ")).cast("long")))
+    once = rows.groupBy(key).agg(F.count("*").alias("__k"), F.first("__g").alias("__g"), F.sum("__d").alias("__d"))
+    once = once.withColumn("__d", F.when(F.col("__k") == 1, F.col("__d")).otherwise(F.raise_error(F.lit("a key occurs twice")).cast("long")))
+    sums = once.groupBy("__g").agg(F.sum("__d").alias("s"), F.count("*").alias("n"))
+    whole = sums.agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("delta"))
+    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", _poisson(F.col("__g"), F.col("draw"), F.lit(seed)))
+    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
+    return whole.crossJoin(means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high")))
+
+
+def averaged_report(df: DataFrame) -> DataFrame:
+    """average (macro, weighted, micro), precision, recall, f1."""
+    r = _by_class(df)
+    mean = lambda c, w: F.round(F.sum(F.col(c) * w) / F.sum(w), 6).alias(c)
+    rows = [r.agg(*[mean(c, w) for c in ("precision", "recall", "f1")]).select(F.lit(name).alias("average"), "*") for name, w in (("macro", F.lit(1.0)), ("weighted", F.col("support")))]
+    hit = F.round(F.avg((F.col("prediction") == F.col("target")).cast("double")), 6)
+    micro = df.agg(hit.alias("precision"), hit.alias("recall"), hit.alias("f1")).select(F.lit("micro").alias("average"), "*")
+    return rows[0].unionByName(rows[1]).unionByName(micro)
