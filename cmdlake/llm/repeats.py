@@ -4,26 +4,31 @@ Every window of ``width`` symbols is named by its anchor, the ``gram``-symbol st
 with the smallest hash, so equal windows have equal anchors at equal places.  Consecutive
 windows under one anchor form a run; a run's context is the text its windows span.  Runs are
 counted by (anchor, context) with map-side combining, so copies collapse to one context with
-a weight before any text moves.  Anchors of a single run end there.  The distinct contexts
-of the others go, by anchor, to shards, where an index (a function given by the caller)
-finds the windows whose weight is two or more.  An anchor with more than ``crowded`` distinct
-contexts would make a shard too large: its windows are counted one by one instead, as an
-ordinary grouped count.
-
-Hashes have 64 bits and contexts are compared by anchor and context hash together.
+a weight before any text moves.  Anchors of a single run end there.  Equal windows of two
+contexts agree on half the window's rest to the left of the anchor or to its right, so a
+context that shares neither half with another has only the copies of itself.  The text of the
+rest goes, by anchor, to shards, where an index (a function given by the caller) finds the
+windows whose weight is two or more.  An anchor with more than ``crowded`` such contexts would
+make a shard too large: its windows are counted one by one instead, as an ordinary grouped
+count.
+
+Hashes have 64 bits and contexts are compared by anchor and context hash together.  A byte's
+symbol mixes it with the seven that follow, and a word's symbol is a keyed hash of the word, so
+that no regular pattern of letters makes two sums of symbols agree.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdlake.llm.common import cut
+from cmdlake.llm.common import checkpoint_dir
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
@@ -31,9 +36,8 @@ NONE = -(2**63)
 CROWDED, SHARD_SYMBOLS = 10_000, 1_200_000
 #: Window starts taken at once; positions have 24 bits.
 BLOCK = 1 << 22
-_MIX = np.random.Generator(np.random.PCG64(11)).integers(0, 2**64, 256, dtype="u8")
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that one byte's symbol is made of.
+AHEAD = 8
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -43,8 +47,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def substring_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each symbols[start:end], equal for equal strings wherever they stand."""
+def substring_hasher(symbols: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function of (start, end) arrays: a hash of each symbols[start:end], equal for equal strings wherever they stand."""
     up = np.full(len(symbols) + 1, BASE, "u8")
     up[0] = 1
     up = np.cumprod(up, dtype="u8")
@@ -52,50 +56,55 @@ def substring_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) ->
     down[0] = 1
     down = np.cumprod(down, dtype="u8")
     total = np.concatenate((np.zeros(1, "u8"), np.cumsum(symbols * up[:-1], dtype="u8")))
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
 
+    def hash_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((total[end] - total[start]) * down[start] + (end - start).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
+
+    return hash_of
 
-def byte_symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of the joined byte strings and where each string starts."""
-    return _MIX[np.frombuffer(b"".join(raw), "u1")], np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype("i8")
+
+def substring_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return substring_hasher(symbols)(start, end)
 
 
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word (bytes between the six ASCII white-space characters)."""
-    blank = np.concatenate(([True], _SPACE[np.frombuffer(raw, "u1")], [True]))
-    edge = np.flatnonzero(blank[1:] != blank[:-1])
-    return edge[::2], edge[1::2]
+def byte_symbols(raw: list[bytes], ahead: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of the joined byte strings, each of ``ahead`` (up to 8) bytes, and where each string starts."""
+    joined = b"".join(raw)
+    eight = np.ndarray((len(joined),), "<u8", joined + bytes(8), strides=(1,))
+    part = eight & np.uint64(256**ahead - 1)
+    return mixed(part + np.uint64(BASE)), np.concatenate(([0], np.cumsum([len(x) for x in raw]))).astype("i8")
 
 
-def word_symbols(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash for each word of the joined texts and where each text's words start."""
-    joined = b"\n".join(raw)
-    a, e = word_spans(joined)
-    text_start = np.concatenate(([0], np.cumsum([len(x) + 1 for x in raw])))
-    return substring_hashes(_MIX[np.frombuffer(joined, "u1")], a, e), np.searchsorted(a, text_start).astype("i8")
+def word_symbols(raw: list[bytes], ahead: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A keyed hash for each word of the joined texts and where each text's words start."""
+    words = [x.split() for x in raw]
+    flat = np.fromiter(chain.from_iterable(words), object, sum(map(len, words)))
+    return pd.util.hash_array(flat, categorize=False), np.concatenate(([0], np.cumsum([len(x) for x in words]))).astype("i8")
 
 
-def runs(symbols: np.ndarray, starts: np.ndarray, width: int, gram: int, block: int = BLOCK) -> tuple[np.ndarray, ...]:
-    """text number, first window (within its text), windows, anchor hash and context hash of each run.
+def runs(symbols: np.ndarray, starts: np.ndarray, width: int, gram: int, ahead: int = 1, block: int = BLOCK) -> tuple[np.ndarray, ...]:
+    """Of each run: text number, first window (within its text), windows, anchor hash, context hash,
+    and hashes of the half left and the half right of the anchor (0: the run doesn't reach so far).
 
     Symbols are taken in blocks of window starts; a run that a block's end divides is two runs.
     """
     parts = [
-        _block_runs(symbols[b : b + block + width - 1], np.clip(starts - b, 0, min(block + width - 1, len(symbols) - b)), width, gram)
+        _block_runs(symbols[b : b + block + width - 1], np.clip(starts - b, 0, min(block + width - 1, len(symbols) - b)), width, gram, ahead - 1)
         for b in range(0, max(len(symbols), 1), block)
     ]
     for i, part in enumerate(parts):  # a text that began in an earlier block
         part[1] += np.maximum(0, i * block - starts[:-1])[part[0]]
-    return tuple(np.concatenate([p[k] for p in parts]) for k in range(5))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(7))
 
 
-def _block_runs(symbols: np.ndarray, starts: np.ndarray, width: int, gram: int) -> list[np.ndarray]:
-    n, w = len(symbols), width - gram + 1
+def _block_runs(symbols: np.ndarray, starts: np.ndarray, width: int, gram: int, less: int) -> list[np.ndarray]:
+    n, w, half = len(symbols), width - gram + 1, (width - gram) // 2
     empty = np.zeros(0, "i8")
     if n < width:
-        return [empty] * 5
+        return [empty] * 7
+    hash_of = substring_hasher(symbols)
     at = np.arange(n - gram + 1)
-    hashes = substring_hashes(symbols, at, at + gram)
+    hashes = hash_of(at, at + gram - less)
     key = mixed(hashes) >> np.uint64(24) << np.uint64(24) | at.astype("u8")
     span = 1
     while 2 * span <= w:
@@ -110,14 +119,17 @@ def _block_runs(symbols: np.ndarray, starts: np.ndarray, width: int, gram: int)
     np.add.at(valid, starts[1:][long_] - width + 1, -1)
     window = np.flatnonzero(np.cumsum(valid)[: len(key)])
     if not len(window):
-        return [empty] * 5
+        return [empty] * 7
     anchor = (key[window] & np.uint64(0xFFFFFF)).astype("i8")
     first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     count = np.diff(np.concatenate((first, [len(window)])))
     begin = window[first]
     text = np.searchsorted(starts, begin, "right") - 1
-    context = substring_hashes(symbols, begin, begin + count - 1 + width)
-    return [text, begin - starts[text], count, hashes[anchor[first]].view("i8"), context.view("i8")]
+    end, core = begin + count - 1 + width, anchor[first]
+    # a half goes along with the anchor, so that it is never shorter than a symbol reaches
+    left = np.where(core - half >= begin, hash_of(np.maximum(core - half, 0), core + gram - less) | np.uint64(1), np.uint64(0))
+    right = np.where(core + gram + half <= end, hash_of(core, np.minimum(core + gram + half, n) - less) | np.uint64(1), np.uint64(0))
+    return [text, begin - starts[text], count, hashes[core].view("i8"), hash_of(begin, end - less).view("i8"), left.astype("u4").view("i4"), right.astype("u4").view("i4")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -135,24 +147,32 @@ def batches(pdf: pd.DataFrame, size: int = 1 << 21) -> Iterator[pd.DataFrame]:
 
 
 def find_runs(docs: DataFrame, symbols_of: Callable, width: int, gram: int) -> DataFrame:
+    ahead = min(AHEAD, gram) if symbols_of is byte_symbols else 1
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for part in batches(pdf):
-                texts = [t.encode() for t in part["text"]]
-                symbols, starts = symbols_of(texts)
-                text, at, n, h, c = runs(symbols, starts, width, gram)
-                yield pd.DataFrame({"h": h, "c": c, "d": part["d"].to_numpy()[text], "k": part["k"].to_numpy()[text], "at": at, "n": n})
+                symbols, starts = symbols_of([t.encode() for t in part["text"]], ahead)
+                text, at, n, h, c, left, right = runs(symbols, starts, width, gram, ahead)
+                yield pd.DataFrame({"h": h, "c": c, "d": part["d"].to_numpy()[text], "k": part["k"].to_numpy()[text], "at": at, "n": n, "l": left, "r": right})
 
-    return keyed(docs).mapInPandas(run, "h long, c long, d long, k long, at long, n long")
+    return keyed(docs).mapInPandas(run, "h long, c long, d long, k long, at long, n long, l int, r int")
 
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: columnar, so smaller than checkpoint()."""
-    spark = df.sparkSession
-    cut(spark.range(1))  # sets the folder where a session has none
-    path = f"{spark.sparkContext.getCheckpointDir()}/rows-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(df.sparkSession)}/rows-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by written() that no later step reads."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            found = jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def repeated_windows(docs: DataFrame, symbols_of: Callable, slices_of: Callable, index: Callable, width: int, gram: int, symbol_bytes: int, crowded: int = CROWDED, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
@@ -162,11 +182,22 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, slices_of: Callable,
     of boolean arrays, one value per window of each context.
     """
     found = written(find_runs(docs, symbols_of, width, gram))
-    contexts = found.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("d", "k", "at", "n")).alias("one"))
+    contexts = found.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("d", "k", "at", "n", "l", "r")).alias("one"))
     anchors = contexts.groupBy("h").agg(F.sum("weight").alias("total"), F.count("*").alias("contexts")).filter("total > 1")
     contexts = written(contexts.join(anchors, "h").select("h", "c", "weight", "contexts", "one.*"))
-    alone = contexts.filter("contexts = 1").select("h", "c", F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))).alias("spans"))
-    several = contexts.filter("contexts > 1")
+
+    # contexts that share a half with another one of their anchor
+    halves = (
+        contexts.filter("contexts > 1")
+        .select("h", "c", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("l").alias("half")), F.struct(F.lit(1).alias("side"), F.col("r").alias("half")))).alias("x"))
+        .select("h", "c", "x.*").filter("half <> 0")
+    )
+    shared = halves.groupBy("h", "side", "half").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    meet = halves.join(shared.hint("merge"), ["h", "side", "half"]).select("h", "c").distinct()
+    several = contexts.join(meet.hint("merge"), ["h", "c"])
+    several = written(several.join(several.groupBy("h").agg(F.count("*").alias("m")).hint("merge"), "h").select("h", "c", "d", "k", "at", "n", "weight", F.col("m").alias("contexts")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.col("n").alias("e"))).alias("spans")
+    alone = contexts.filter("weight > 1").select("h", "c", whole)
 
     # contexts' text: one row per document that holds any
     wanted = several.groupBy("d", "k").agg(F.collect_list(F.struct("h", "c", "weight", "contexts", "at", "n")).alias("parts"))
@@ -180,8 +211,9 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, slices_of: Callable,
                     out += [(p["h"], p["c"], p["weight"], p["contexts"], s) for p, s in zip(parts, cut_, strict=True)]
                 yield pd.DataFrame(out, columns=["h", "c", "weight", "contexts", "body"])
 
-    pulled = keyed(docs).join(wanted, ["d", "k"]).select("text", "parts").mapInPandas(pull, "h long, c long, weight long, contexts long, body binary")
-    pulled = written(pulled.dropDuplicates(["h", "c"]))
+    once = keyed(docs).dropDuplicates(["d", "k"])  # equal rows are one row here, so no context is pulled twice
+    pulled = once.join(wanted, ["d", "k"]).select("text", "parts").mapInPandas(pull, "h long, c long, weight long, contexts long, body binary")
+    pulled = written(pulled)
     size = pulled.filter(F.col("contexts") <= crowded).agg(F.sum(F.octet_length("body"))).first()[0] or 0
     shards = int(size // (symbol_bytes * shard_symbols)) + 1
 
@@ -189,7 +221,8 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, slices_of: Callable,
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         hits = index([np.frombuffer(b, dtype) for b in pdf["body"]], pdf["weight"].to_numpy())
-        spans = [[{"s": int(s), "e": int(e)} for s, e in true_runs(x)] for x in hits]
+        # copies of a context are all marked already
+        spans = [[{"s": int(s), "e": int(e)} for s, e in true_runs(x)] if w == 1 else [] for x, w in zip(hits, pdf["weight"], strict=True)]
         return pd.DataFrame({"h": pdf["h"], "c": pdf["c"], "spans": spans})[[bool(x) for x in spans]]
 
     indexed = (
@@ -199,25 +232,28 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, slices_of: Callable,
     )
 
     def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ahead = min(AHEAD, width) if symbol_bytes == 1 else 1
         for pdf in frames:
             for h, c, weight, body in zip(pdf["h"], pdf["c"], pdf["weight"], pdf["body"], strict=True):
-                x = np.frombuffer(body, dtype)
-                x = _MIX[x] if symbol_bytes == 1 else x.astype("u8")
+                x = byte_symbols([body], ahead)[0] if symbol_bytes == 1 else np.frombuffer(body, dtype).astype("u8")
                 at = np.arange(len(x) - width + 1)
-                yield pd.DataFrame({"h": h, "c": c, "weight": weight, "w": substring_hashes(x, at, at + width).view("i8"), "at": at})
+                yield pd.DataFrame({"h": h, "c": c, "weight": weight, "w": substring_hashes(x, at, at + width - ahead + 1).view("i8"), "at": at})
 
     each = pulled.filter(F.col("contexts") > crowded).mapInPandas(windows, "h long, c long, weight long, w long, at long")
     twice = each.groupBy("h", "w").agg(F.sum("weight").alias("total")).filter("total > 1").select("h", "w")
     counted = (
-        each.join(twice, ["h", "w"]).groupBy("h", "c")
+        each.filter("weight = 1").join(twice, ["h", "w"]).groupBy("h", "c")
         .agg(F.collect_set(F.struct(F.col("at").alias("s"), (F.col("at") + 1).alias("e"))).alias("spans"))
     )
-    verdicts = alone.unionByName(indexed).unionByName(counted)
-    return (
+    verdicts = written(alone.unionByName(indexed).unionByName(counted))
+    discard(contexts, several, pulled)
+    spans = written(
         found.join(verdicts, ["h", "c"])
         .select("d", "k", "at", F.explode("spans").alias("x"))
         .groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e")))).alias("spans"))
     )
+    discard(found, verdicts)
+    return spans
 
 
 def true_runs(hit: np.ndarray) -> np.ndarray:

@@ -5,8 +5,9 @@ wavelet matrix of packed bits with block counts.  The contexts are then streamed
 a backward search from every window end extends while the match still has a weight of two or
 more, which gives the matching statistic of that end up to the threshold.
 
-Null and empty texts have no words.  Repeated rows count as separate texts.  An empty table
-gives no rows.
+Null and empty texts have no words.  Repeated rows count as separate texts.  Very long texts are
+taken in blocks.  A null doc_id is carried through.  Other columns are not read, whatever their
+names.  An empty table gives no rows.
 """
 
 from __future__ import annotations

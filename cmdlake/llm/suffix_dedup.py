@@ -7,7 +7,9 @@ longer intervals begin, and stops at the threshold.  Suffixes between two marks
 the threshold's bytes.
 
 Null and empty texts lose nothing.  Repeated rows count as separate texts, so a text of at
-least ``width`` bytes that occurs twice loses all.  An empty table gives no rows.
+least ``width`` bytes that occurs twice loses all.  Very long texts are taken in blocks.  A null
+doc_id is carried through.  Other columns are not read, whatever their names.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cmdlake.llm import repeats
+from cmdlake.llm.common import fresh
 
 WIDTH, GRAM = 200, 24
 
@@ -93,10 +96,10 @@ def remaining_text(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    spans = repeated_spans(docs, width, gram).select(F.col("d").alias("__d"), F.col("k").alias("__k"), F.col("spans").alias("__spans"))
-    named = docs.withColumns({"__d": F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NONE)), "__k": F.xxhash64("doc_id", "text")})
-    done = named.join(spans, ["__d", "__k"], "left").withColumn("text", rest("text", "__spans"))
-    return done.select(*docs.columns)
+    d, k, found = fresh(docs, "d", "k", "spans")
+    named = docs.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(repeats.NONE)), k: F.xxhash64("doc_id", "text")})
+    done = named.join(repeated_spans(docs, width, gram).toDF(d, k, found), [d, k], "left").withColumn("text", rest("text", found))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:

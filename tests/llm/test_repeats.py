@@ -74,7 +74,7 @@ def test_empty_table(spark):
 def test_blocks_cover_every_window_once():
     raw = [b"ab" * 9, b"", b"abcabcabcd" * 5, b"x"]
     symbols, starts = repeats.byte_symbols(raw)
-    text, at, n, h, _ = repeats.runs(symbols, starts, 10, 3, block=7)
+    text, at, n, h = repeats.runs(symbols, starts, 10, 3, block=7)[:4]
     got = sorted((t, a + i) for t, a, k in zip(text, at, n, strict=True) for i in range(k))
     assert got == [(t, i) for t, s in enumerate(raw) for i in range(len(s) - 9)]
     whole = repeats.runs(symbols, starts, 10, 3)
