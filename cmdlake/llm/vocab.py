@@ -4,13 +4,15 @@ A ``tokenizers`` JSON file whose pre-tokenizer never joins text across white spa
 each whitespace word on its own, so ids of a text are the ids of its words in order.  Words in
 a plain alphabet (ASCII and Latin letters without combining marks, where lower-casing and
 NFC act on one character at a time) are merged by ``tiktoken`` over the same merge ranks, with
-the byte 0 standing for the word end.  A text holding any other character, or a special
-token's string, goes to the ``tokenizers`` library as a whole.
+the byte 0 standing for the word end.  A word holding any other character, or a special
+token's string, is encoded by the ``tokenizers`` library, once while it stays in the cache; in
+texts with such words only the six ASCII white-space characters part words.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
@@ -19,8 +21,9 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Words kept per Python worker before the cache starts anew; bounds memory, never results.
-CACHE_WORDS = 120_000
+CACHE_WORDS, CACHE_CHARS = 120_000, 8_000_000
 _PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-įı-ňŊ-ž]*\Z")
+_WORD = re.compile(r"[^\t-\r ]+")
 _PIECE = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\sa-zß-öø-ž0-9]+"
 )
@@ -38,6 +41,7 @@ class WordVocab:
         self.slow = Tokenizer.from_file(path)
         self.slow.no_truncation()
         self.slow.no_padding()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         spec = json.load(open(path))
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -62,19 +66,37 @@ class WordVocab:
             self.ends = np.zeros(max(self.shown) + 1, bool)
             self.ends[[i for raw, i in ranks.items() if len(raw) > 1 and raw[-1] == 0]] = True
         self.id_words: dict[str, bytes] = {}
+        self.held = 0
 
     def plain(self, text: str) -> bool:
         """Whether the cached path gives the library's ids for this text."""
         return self.fast and _PLAIN.match(text) is not None and not any(s in text for s in self.special)
 
+    def words(self, text: str) -> list[str]:
+        """Cache keys of the text's words: lower case where that acts on one character at a time."""
+        return text.lower().split() if self.plain(text) else _WORD.findall(text)
+
     def learn(self, words: set[str]) -> None:
-        """Merge the words not cached yet, all in one call."""
+        """Merge the words not cached yet, all in one call; words that aren't plain by the library."""
         new = list(words - self.id_words.keys())
-        if len(self.id_words) + len(new) > CACHE_WORDS:
+        self.held += sum(map(len, new))
+        if len(self.id_words) + len(new) > CACHE_WORDS or self.held > CACHE_CHARS:
             self.id_words.clear()
             new = list(words)
-        if not new:
-            return
+            self.held = sum(map(len, new))
+        other = [w for w in new if not self.plain(w)]
+        for w, found in zip(other, self.slow.encode_batch(other, add_special_tokens=False) if other else (), strict=True):
+            self.id_words[w] = np.array(found.ids, "<u4").tobytes()
+        new = [w for w in new if w not in self.id_words] if other else new
+        # a plain word of mixed case can stand in a text that isn't plain
+        low = {w: w.lower() for w in new if w != w.lower()}
+        new = list({low.get(w, w) for w in new} - self.id_words.keys()) if low else new
+        if new:
+            self._merge(new)
+        for w, x in low.items():
+            self.id_words[w] = self.id_words[x]
+
+    def _merge(self, new: list[str]) -> None:
         pieces = [[w] if w.isalpha() else _PIECE.findall(w) for w in new]
         ids = self.merge("\0".join([p for ps in pieces for p in ps]) + "\0", allowed_special=set())
         piece_end = np.flatnonzero(self.ends[ids]) + 1
@@ -90,17 +112,10 @@ class WordVocab:
 
     def ids_of(self, texts: list[str | None]) -> list[bytes]:
         """ids() of each text; words new to the cache are merged together."""
-        plain = [bool(t) and self.plain(t) for t in texts]
-        words = [t.lower().split() if ok else () for t, ok in zip(texts, plain, strict=True)]
+        words = [self.words(t) if t else () for t in texts]
         self.learn(set().union(*words))
         known = self.id_words.__getitem__
-        return [
-            b"".join(map(known, ws)) if ok else self._slow_ids(t)
-            for t, ok, ws in zip(texts, plain, words, strict=True)
-        ]
-
-    def _slow_ids(self, text: str | None) -> bytes:
-        return np.array(self.slow.encode(text, add_special_tokens=False).ids if text else [], "<u4").tobytes()
+        return [b"".join(map(known, ws)) for ws in words]
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the library's decode(ids, skip_special_tokens=False): without a decoder, tokens joined by spaces."""
