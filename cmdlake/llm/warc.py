@@ -7,7 +7,9 @@ verifies block and payload digests; a digest that doesn't match fails the job.
 
 Null html is an empty payload, null page ids and urls are written as absent.  Of equal
 payloads of at least ``least`` bytes, rows with the smallest page id are responses (all of
-them, if rows repeat) and the rest revisits; smaller payloads are responses.
+them, if rows repeat) and the rest revisits; smaller payloads are responses.  A row that repeats
+page and payload is written again under the same record id.  Payloads of any length are one
+record; other columns are not read.  An empty table gives no archive.
 """
 
 from __future__ import annotations
@@ -63,15 +65,26 @@ def record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
+def page_name(page: str | None) -> str:
+    return "urn:page:none" if page is None else f"urn:page:{page}"
+
+
+def record_id(name: str, payload: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {payload}')}>"
+
+
 def with_first(pages: DataFrame, least: int) -> DataFrame:
-    """Adds first_id, the smallest page id of payloads that occur more than once."""
+    """page_id, url, html, and first_id of revisits: the smallest page id with the same payload."""
     keyed = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("sha1_hex"))
     repeated = (
         keyed.filter(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
         .groupBy("sha1_hex").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .filter("n > 1").drop("n")
     )
-    return keyed.join(repeated, "sha1_hex", "left")
+    found = keyed.join(repeated, "sha1_hex", "left")
+    revisit = F.col("first_id").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")))
+    # ids as strings, for pandas would make doubles of whole numbers beside a null
+    return found.select(F.col("page_id").cast("string"), "url", "html", F.when(revisit, F.col("first_id").cast("string")).alias("first_id"))
 
 
 def write_archives(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -82,14 +95,13 @@ def write_archives(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:
         for pdf in frames:
             for page, url, html, first in zip(*(pdf[c].tolist() for c in ("page_id", "url", "html", "first_id")), strict=True):
                 raw = html.encode() if html else b""
-                known, payload = page == page and page is not None, digest(raw)
-                revisit = first == first and first is not None and (not known or int(first) != int(page))
+                payload, revisit = digest(raw), first is not None
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(raw)}\r\n\r\n".encode()
                 block = http if revisit else http + raw
-                name = f"urn:page:{int(page)}" if known else "urn:page:none"
+                name = page_name(page)
                 fields = [
                     ("WARC-Type", "revisit" if revisit else "response"),
-                    ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name} {payload}')}>"),
+                    ("WARC-Record-ID", record_id(name, payload)),
                     ("WARC-Page-ID", name),
                     ("WARC-Date", date),
                     ("WARC-Target-URI", "".join(url.split()) if url else "about:blank"),
@@ -98,7 +110,7 @@ def write_archives(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:
                     ("WARC-Payload-Digest", f"sha1:{payload}"),
                 ]
                 if revisit:
-                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{int(first)}>")]
+                    fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(page_name(first), payload)), ("WARC-Refers-To-Page-ID", page_name(first))]
                 out.append(member(fields, block))
                 size += len(out[-1])
                 if size >= ARCHIVE_BYTES:
@@ -111,7 +123,7 @@ def write_archives(pages: DataFrame, least: int = 0, date: str = "2024-01-01T00:
         content = b"".join(out)
         return pd.DataFrame({"archive": [f"pages-{hashlib.sha1(content).hexdigest()[:16]}.warc.gz"], "content": [content]})
 
-    return with_first(pages, least).select("page_id", "url", "html", "first_id").mapInPandas(write, "archive string, content binary")
+    return with_first(pages, least).mapInPandas(write, "archive string, content binary")
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -131,7 +143,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if kind == "response" and (length != len(payload) or named != digest(payload)):
                         raise ValueError("a payload differs from its length or digest")
                     page = fields["WARC-Page-ID"].rpartition(":")[2]
-                    first = fields.get("WARC-Refers-To", "").strip("<>").rpartition(":")[2]
+                    first = fields.get("WARC-Refers-To-Page-ID", "").rpartition(":")[2]
                     out.append((None if page == "none" else page, fields["WARC-Target-URI"], length, named, kind, first or None, payload.decode() if kind == "response" else None))
                 yield pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
