@@ -6,7 +6,8 @@ the pieces by their rank within their length.  Ranks are taken within (length, s
 so that a length that many pieces share is spread over tasks.
 
 Null and empty texts hold the end id alone (length 1).  Repeated rows are packed each; rows
-of a null doc_id are kept.  An empty table gives no rows.
+of a null doc_id are kept.  Very long texts are cut at each capacity only.  Equal lengths are dealt
+out by rank, ties in any order.  Other columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -109,7 +110,6 @@ def slots(packed: list[tuple[Pattern, int]]) -> pd.DataFrame:
 
 def pieces(docs: DataFrame, capacity: int, end_id: int, vocab_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's ids with the end id."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocab = word_vocab(vocab_path or default_path("word_bpe_49k.json"))
@@ -125,7 +125,8 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocab_path: str | None =
                         out.append((key, i, at // 4, len(part) // 4, zlib.crc32(part)))
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(encode, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    # as strings, for pandas would make doubles of whole numbers beside a null
+    return docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(encode, "doc_id string, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocab_path: str | None = None) -> DataFrame:
@@ -165,8 +166,8 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocab
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     dealt = ranked.select(*columns, "rank").mapInPandas(deal, schema)
     # a full piece is a sequence of its own; numbers below zero can't meet those above
     own_seq = full.select(*columns, (-F.monotonically_increasing_id() - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return dealt.unionByName(own_seq)
+    return dealt.unionByName(own_seq).withColumn("doc_id", F.col("doc_id").cast(kind))
