@@ -2,7 +2,10 @@
 
 Documents are aggregated by encoded length; suffix sums over the histogram (as many rows as
 there are distinct lengths, never as many as documents) answer totals, quantiles and
-truncated totals for every context limit.  Null and empty texts have length 0.
+truncated totals for every context limit.
+
+Null and empty texts have length 0.  Repeated rows count each; very long texts are encoded
+whole.  Only text is read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cmdlake.llm.common import chunks
+from cmdlake.llm.common import chunks, cut
 from cmdlake.llm.vocab import default_path, word_vocab
 
 
@@ -37,7 +40,7 @@ def length_histogram(docs: DataFrame, vocab_path: str | None = None) -> DataFram
     ``share_whole`` the share of documents that fit, so that the smallest limit with a share
     of q or more is the q-quantile of lengths.
     """
-    hist = lengths(docs, vocab_path).groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count("*").alias("n_docs"))
+    hist = cut(lengths(docs, vocab_path).groupBy(F.col("n_tokens").alias("context_limit")).agg(F.count("*").alias("n_docs")))
     # block sums first, so that no window holds more than one block of lengths or all blocks
     blocks = hist.withColumn("block", F.floor(F.col("context_limit") / 4096))
     sums = blocks.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("context_limit")).alias("t"))
@@ -56,3 +59,24 @@ def length_histogram(docs: DataFrame, vocab_path: str | None = None) -> DataFram
             ((F.col("all_docs") - F.col("n_docs_longer")) / F.col("all_docs")).alias("share_whole"),
         )
     )
+
+
+def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """context_limit, n_docs_longer, total_tokens, truncated_tokens for any limits, from length_histogram's rows.
+
+    Between two lengths that occur, the documents longer than a limit are those longer than the
+    length below it, and each of them adds the difference.
+    """
+    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "asked long")
+    below = F.max_by(F.struct("context_limit", "n_docs_longer", "truncated_tokens"), F.when(F.col("context_limit") <= F.col("asked"), F.col("context_limit")))
+    longer = F.coalesce(F.col("at.n_docs_longer"), F.col("n_docs"))
+    return (
+        histogram.join(F.broadcast(asked)).groupBy("asked")  # as many rows as limits are given
+        .agg(below.alias("at"), F.sum("n_docs").alias("n_docs"), F.max("total_tokens").alias("total_tokens"))
+        .select(F.col("asked").alias("context_limit"), longer.alias("n_docs_longer"), "total_tokens", (F.coalesce(F.col("at.truncated_tokens"), F.lit(0)) + longer * (F.col("asked") - F.coalesce(F.col("at.context_limit"), F.lit(0)))).alias("truncated_tokens"))
+    )
+
+
+def quantile(histogram: DataFrame, share: float) -> DataFrame:
+    """One row, context_limit: the smallest length that at least this share of the documents does not exceed."""
+    return histogram.filter(F.col("share_whole") >= share).agg(F.min("context_limit").alias("context_limit"))
