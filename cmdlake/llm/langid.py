@@ -2,12 +2,15 @@
 
 Hashed character 1- to 3-gram TF-IDF features (term frequency relative to the text's n-grams),
 fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample of
-labelled rows (``SAMPLE_ROWS`` expected over all languages, drawn by a hash of the row), then
+labelled rows (``SAMPLE_ROWS`` expected over all languages, drawn by a hash of the row among texts
+of up to ``SAMPLE_CHARS`` characters, so that what reaches the driver is bounded), then
 a temperature fitted on a fifth of the sample that the weights never saw.  The table of
 weights has a fixed size; every text is scored whole.
 
 Null texts, and texts without a letter, are ``und`` with score 0.  With no labelled row every
-text is ``und``.
+text is ``und``.  Of languages with equal scores the first by name is given.  Repeated rows are
+judged alike, and count each when the model is fitted.  Very long texts are scored whole.  Other
+columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from pyspark.sql import functions as F
 
 from cmdlake.llm.common import chunks
 
-SAMPLE_ROWS, BUCKETS, ORDERS, SCALE = 4000, 1 << 17, 3, 40.0
+SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
+BUCKETS, ORDERS, SCALE = 1 << 17, 3, 40.0
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -50,10 +54,10 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, str]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> dict:
-    """Languages, feature weights (IDF folded in), bias and temperature."""
+def fit(rows: list[tuple[tuple[np.ndarray, np.ndarray], str]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> dict:
+    """Languages, feature weights (IDF folded in), bias and temperature, from rows of counts() and language."""
     langs = sorted({lang for _, lang in rows})
-    xs, ys = [counts(t) for t, _ in rows], np.array([langs.index(lang) for _, lang in rows])
+    xs, ys = [x for x, _ in rows], np.array([langs.index(lang) for _, lang in rows])
     df = np.zeros(BUCKETS)
     for f, _ in xs:
         df[f] += 1
@@ -99,6 +103,7 @@ def predict(texts: list[str], model: dict) -> np.ndarray:
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict | None:
     """Fit on an expected ``rows`` of (text, lang); the draw depends on each text alone and is even over languages."""
+    labelled = labelled.filter(F.length("text") <= SAMPLE_CHARS)
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
@@ -106,7 +111,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict | None:
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))]), F.col("lang"))
     drawn = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30))
     sample = sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").collect() if _LETTER.search(r["text"]))
-    return fit(sample) if sample else None
+    return fit([(counts(t), lang) for t, lang in sample]) if sample else None
 
 
 def verdicts(texts: list[str | None], model: dict | None) -> tuple[list[str], np.ndarray]:

@@ -4,7 +4,9 @@ A public byte-level vocabulary measures characters per token, the share of token
 not whole characters (byte fallback) and the entropy of the token distribution of each whole
 text.  A text of any length is rejected if a figure lies outside its script's band; what
 entropy is asked for grows with the number of tokens.  Null and empty texts have no words and
-fail the base rule.  Repeated rows are judged alike.
+fail the base rule.  Repeated rows are judged alike.  Very long texts are judged whole.  A figure
+on a bound lies inside the band; of scripts with as many letters the first of BANDS is taken.
+Other columns are not read.  An empty table gives no rows.
 """
 
 from __future__ import annotations
