@@ -1,4 +1,9 @@
-"""A training corpus from raw documents: language, quality, near copies, repeated passages, packing."""
+"""A training corpus from raw documents: language, quality, near copies, repeated passages, packing.
+
+Null and empty texts have no language and go in the first stage; very long texts stay whole. Repeated rows and near
+copies leave one row, of equal smallest ids each row with a text of its own. Null ids, sources and languages are
+carried through, as are further columns of any name. An empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cmdlake.llm import langid, near_dedup, packing, quality, repeats, suffix_dedup
-from cmdlake.llm.common import small_batches
+from cmdlake.llm.common import fresh, small_batches
 
 #: Texts whose best language has a lower calibrated probability are rejected.
 LEAST_SCORE = 0.5
@@ -16,13 +21,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter or without a clear language."""
     small_batches(docs)
     model = langid.train(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
-    found = docs.withColumn("__x", langid.language_of(F.col("text"), model))
-    return found.filter((F.col("__x.lang_pred") != "und") & (F.col("__x.score") >= LEAST_SCORE)).drop("__x")
+    (x,) = fresh(docs, "x")
+    found = docs.withColumn(x, langid.language_of(F.col("text"), model))
+    return found.filter((F.col(x)["lang_pred"] != "und") & (F.col(x)["score"] >= LEAST_SCORE)).drop(x)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects repetitive or very short texts and those outside their script's fertility band."""
-    return docs.withColumn("__x", quality.quality_of(F.col("text"))).filter("__x.kept").drop("__x")
+    (x,) = fresh(docs, "x")
+    return docs.withColumn(x, quality.quality_of(F.col("text"))).filter(F.col(x)["kept"]).drop(x)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
