@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +14,10 @@ def key_components(rows: DataFrame, row: str, keys: list[str]) -> DataFrame:
     """
     sc = rows.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"{rows.sparkSession.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     links = rows.select(row, F.explode(F.array(*[F.when(F.col(k) != "", F.concat(F.lit(f"{k}:"), F.col(k).cast("string"))) for k in keys])).alias("key")).filter("key is not null").distinct().checkpoint()
     labels = rows.select(row, F.col(row).alias("component")).distinct().checkpoint()
     while True:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cmdlake.plans import command_queries, dataset_queries, evaluation_queries, triage_queries
+from cmdlake.plans import command_queries, curation_queries, dataset_queries, evaluation_queries, triage_queries
 
-MODULES = (command_queries, dataset_queries, evaluation_queries, triage_queries)
+MODULES = (command_queries, dataset_queries, evaluation_queries, triage_queries, curation_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
