@@ -26,6 +26,7 @@ WINDOWS_EXECUTABLES = (
 AUTORUN = r"^(hkcu|hklm)\\software\\microsoft\\windows\\currentversion\\run"
 EXECUTABLE_SUFFIX = r"(?i)\.(exe|dll|bat|cmd|ps1|vbs|js|hta|sh|py|jar)$"
 CREDENTIAL_HINT = r"(?i)/etc/shadow|/etc/passwd|sam|ntds\.dit|lsass|security|policy\\secrets"
+GUID, HEX = r"\b[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\b", r"\b(?:0x[0-9a-fA-F]+|[0-9a-fA-F]{32,64})\b"
 TAG_ORDER = (
     "downloads_remote_resource", "transfers_file_to_remote", "writes_local_file", "writes_executable_like_file", "has_remote_target", "has_local_target", "archive_create", "archive_extract",
     "compression_or_archiving", "creates_scheduled_task", "modifies_registry_autorun", "enumerates_identity", "enumerates_network_config", "enumerates_users_or_groups", "uses_encoded_payload", "uses_obfuscation",
@@ -165,6 +166,29 @@ def with_rules(df: DataFrame) -> DataFrame:
     return df.drop("exe", "sub", "norm", "flags_s", "args_s", "paths_s", "n_paths", "n_regs", "n_lolbins", "decoded", "source", "reg_s", "enc_s", "first_remote", "effects", "fired", "classes", "unsure", *map(when, rule_table.RULES))
 
 
+def signature(command: str = "command") -> Column:
+    """struct(executable, verb, flag_set, typed_slots, raw_signature) of a row of parse_commands: what is alike in every run of a command."""
+    canon = lambda t: F.regexp_replace(F.lower(F.trim(clean(F.trim(t)))), "^[-/]+", "")
+    words = all_of(F.col(command), parsing.TOKEN)
+    flag = lambda t: t.startswith("-") | t.startswith("/")
+    after = lambda i: clean(F.try_element_at(words, i + 2))
+    each = F.transform(words, lambda t, i: F.when(flag(t) & (canon(t) != ""), F.array(canon(t), F.when((after(i) != "") & ~flag(after(i)), F.concat(canon(t), F.lit(":"), canon(after(i)))))))
+    flags = F.array_sort(F.array_distinct(F.array_compact(F.flatten(F.array_compact(each)))))
+    low = lambda p: F.lower(p)
+    place = lambda p: (
+        F.when(low(p).rlike(r"windows\\system32|/system32/|\\system32\\|/syswow64/|\\syswow64\\"), "<PATH:system32>")
+        .when(low(p).rlike(r"users\\public|/public/|\\public\\|programdata|temp|/tmp/"), "<PATH:users_public>")
+        .when(low(p).rlike(r"^(c:\\|/|~)"), "<PATH:abs>").otherwise("<PATH:relative>")
+    )
+    masked = lambda a: F.regexp_replace(F.regexp_replace(F.regexp_replace(a, GUID, "<GUID>"), HEX, "<HEX>"), r"\b\d+\b", "<NUM>")
+    slot = lambda a: F.when(low(a).rlike("^https?://"), "<URL>").when(low(a).rlike("^(powershell|cmd|python|-encodedcommand|-command)"), "<CMD>").otherwise(masked(a))
+    several = lambda items, name: F.when(F.size(items) > 0, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    slots = F.array_sort(F.array_distinct(F.concat(F.transform("file_paths", place), several("urls", "<URL>"), several("ips", "<IP>"), several("registry_paths", "<REGKEY>"), F.transform("positional_args", slot))))
+    exe = F.when(F.col("executable") == "", "unknown").otherwise(F.col("executable"))
+    text = F.concat_ws("|", exe, F.coalesce("subcommand", F.lit("*")), F.array_join(flags, ","), F.array_join(slots, ","))
+    return F.struct(exe.alias("executable"), F.col("subcommand").alias("verb"), flags.alias("flag_set"), slots.alias("typed_slots"), text.alias("raw_signature"))
+
+
 def binary_inventory(df: DataFrame, key: str, command: str = "command") -> DataFrame:
     """key, binary, flags, roles: each binary that a command's pipe and chain segments run."""
     bare = r"^(?:(?:[A-Za-z_][A-Za-z0-9_]*=\S*|(?i:sudo|env|nohup|time|exec|command|nice|xargs))(?:\s+|$))+"

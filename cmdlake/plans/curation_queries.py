@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cmdlake.functions import weak_labels
 from cmdlake.functions.text import dedup_key
-from cmdlake.operators import curation
+from cmdlake.operators import curation, triage
 from cmdlake.plans.dataset_queries import KEY, docs
-from cmdlake.plans.triage_queries import FEATURES, RULED, featured
-from cmdlake.sources.gallery import GALLERY_SQL, gallery
+from cmdlake.plans.triage_queries import FEATURES, PARSED, RULED, featured, parsed
+from cmdlake.sources.gallery import ADMIN_SQL, GALLERY_SQL, gallery
 
 QUERIES, ORACLE = {}, {}
 JOINED = "WITH l AS (SELECT doc_id, source, lang, n_chars, text, quality, toxic FROM documents JOIN labels USING (doc_id))"
@@ -315,3 +316,53 @@ def snk3_manifest(spark, sf_dir):
 def src13_snk5_review_cells(spark, sf_dir):
     cell = F.when(F.col("toxic") == 1, '["a", "b c"]').when(F.col("quality") == 0, " x; y ;;z ").when(F.col("doc_id") % 2 == 0, "None").otherwise("solo")
     return docs(spark, sf_dir, "labels").select("doc_id", F.array_join(curation.cell_list(cell), "|").alias("items"))
+
+
+_PATTERNS = {**weak_labels.CONTEXT, "find_cleanup": weak_labels.FIND_CLEANUP, "clear_operational": weak_labels.OPERATIONAL, "malicious_indicators": weak_labels.INDICATORS}
+_WEAK = f"WITH w AS (SELECT event_id, value, command, " + ", ".join(f"regexp_matches(command, '(?i){p}') AS {n}" for n, p in _PATTERNS.items()) + f" FROM ({ADMIN_SQL}))"
+_NEEDS = "((" + " OR ".join("(find_root AND NOT find_cleanup)" if n == "find_root" else n for n in weak_labels.CONTEXT) + ") AND NOT (clear_operational AND NOT malicious_indicators))"
+
+
+@query(_WEAK + f" SELECT event_id, {', '.join(_PATTERNS)} FROM w")
+def dst1_predicates(spark, sf_dir):
+    found = weak_labels.predicates(F.col("command"))
+    return gallery(spark, sf_dir, ADMIN_SQL).select("event_id", *[c.alias(n) for n, c in found.items()])
+
+
+@query(
+    _WEAK + f", l AS (SELECT *, CASE WHEN value < 40 THEN 'Benign' WHEN value < 70 THEN 'Malicious' ELSE 'Context_Dependent' END AS label, CASE WHEN event_id % 3 = 0 THEN 'T1082' ELSE 'T1059' END AS technique FROM w) "
+    f"SELECT label AS old_label, CASE WHEN (label = 'Benign' AND {_NEEDS}) OR (label = 'Malicious' AND technique = 'T1082' AND NOT malicious_indicators) THEN 'Context_Dependent' ELSE label END AS new_label, count(*) AS n FROM l GROUP BY 1, 2"
+)
+def dst1_relabelled(spark, sf_dir):
+    label = F.when(F.col("value") < 40, "Benign").when(F.col("value") < 70, "Malicious").otherwise("Context_Dependent")
+    technique = F.when(F.col("event_id") % 3 == 0, "T1082").otherwise("T1059")
+    rows = gallery(spark, sf_dir, ADMIN_SQL).withColumns({"old_label": label, "technique": technique})
+    return rows.withColumn("new_label", weak_labels.relabelled(F.col("command"), F.col("old_label"), F.col("technique"))).groupBy("old_label", "new_label").agg(F.count("*").alias("n"))
+
+
+@query(_WEAK + f" SELECT event_id, CASE WHEN malicious_indicators THEN 'Malicious' WHEN {_NEEDS} THEN 'Context_Dependent' ELSE 'Benign' END AS label FROM w")
+def ml8_rule_baseline(spark, sf_dir):
+    return gallery(spark, sf_dir, ADMIN_SQL).select("event_id", weak_labels.rule_baseline(F.col("command")).alias("label"))
+
+
+_CANON = "regexp_replace(lower(trim(trim({0}), chr(34) || chr(39))), '^[-/]+', '')"
+_IS = "(starts_with({0}, '-') OR starts_with({0}, '/'))"
+_PLACE = (
+    r"CASE WHEN regexp_matches(lower(p), 'windows\\system32|/system32/|\\system32\\|/syswow64/|\\syswow64\\') THEN '<PATH:system32>' WHEN regexp_matches(lower(p), 'users\\public|/public/|\\public\\|programdata|temp|/tmp/') THEN '<PATH:users_public>' "
+    r"WHEN regexp_matches(lower(p), '^(c:\\|/|~)') THEN '<PATH:abs>' ELSE '<PATH:relative>' END"
+)
+_SLOT = (
+    r"CASE WHEN regexp_matches(lower(a), '^https?://') THEN '<URL>' WHEN regexp_matches(lower(a), '^(powershell|cmd|python|-encodedcommand|-command)') THEN '<CMD>' ELSE "
+    rf"regexp_replace(regexp_replace(regexp_replace(a, '{triage.GUID}', '<GUID>', 'g'), '{triage.HEX}', '<HEX>', 'g'), '\b\d+\b', '<NUM>', 'g') END"
+)
+
+
+@query(
+    PARSED + f", k AS (SELECT event_id, i, toks[i] AS t, trim(toks[i + 1], chr(34) || chr(39)) AS nx FROM (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM p)), "
+    f"cf AS (SELECT event_id, {_CANON.format('t')} AS f, nx FROM k WHERE {_IS.format('t')} AND {_CANON.format('t')} <> ''), uf AS (SELECT event_id, f FROM cf UNION SELECT event_id, f || ':' || {_CANON.format('nx')} FROM cf WHERE nx <> '' AND NOT {_IS.format('nx')}), "
+    "fl AS (SELECT event_id, array_to_string(list_sort(list(DISTINCT f)), ',') AS flags FROM uf GROUP BY 1), "
+    f"sl AS (SELECT event_id, exe, sub0, array_to_string(list_sort(list_distinct(list_concat(list_transform(paths, lambda p: {_PLACE}), CASE WHEN len(urls) > 0 THEN ['<URL>'] ELSE [] END, CASE WHEN len(ips) > 0 THEN ['<IP>'] ELSE [] END, CASE WHEN len(regs) > 0 THEN ['<REGKEY>'] ELSE [] END, list_transform(args, lambda a: {_SLOT})))), ',') AS slots FROM p) "
+    "SELECT event_id, exe || '|' || coalesce(sub0, '*') || '|' || coalesce(flags, '') || '|' || slots AS raw_signature FROM sl LEFT JOIN fl USING (event_id)"
+)
+def bas1_signature(spark, sf_dir):
+    return parsed(spark, sf_dir).select("event_id", triage.signature().alias("s")).select("event_id", "s.raw_signature")

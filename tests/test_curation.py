@@ -45,3 +45,21 @@ def test_review_cells(spark):
     cases = {'["a", "b;c"]': ["a", "b;c"], " x ; ;y": ["x", "y"], "None": None, "": None, "null": None, None: None}
     for cell, want in cases.items():
         assert spark.createDataFrame([(cell,)], "c string").select(curation.cell_list(F.col("c")).alias("x")).first().x == want
+
+
+def test_no_weak_predicate_is_constant(spark):
+    from cmdlake.plans import curation_queries
+
+    rows = curation_queries.QUERIES["dst1_predicates"](spark, "/root/testdata/sf0.001").drop("event_id")
+    sums = rows.agg(*[F.sum(F.col(c).cast("int")).alias(c) for c in rows.columns]).first().asDict()
+    assert [c for c, n in sums.items() if not 0 < n < 1000] == []
+
+
+def test_signatures_mask_what_varies(spark):
+    from cmdlake.operators import triage
+
+    commands = ["curl -o C:\\Temp\\a1.exe http://10.0.0.1/x", "curl -o C:\\Temp\\b2.exe http://10.0.0.2/y", "run job 17 0xff --depth 3", "   "]
+    rows = triage.parse_commands(spark.createDataFrame([(c,) for c in commands], "command string")).select(triage.signature().alias("s")).collect()
+    assert rows[0].s.typed_slots == ["<IP>", "<PATH:users_public>", "<URL>", "C:\\Temp\\a1.exe"] and rows[1].s.executable == "curl"
+    assert rows[2].s.raw_signature == "run|*|depth,depth:3|<HEX>,<NUM>,job"
+    assert rows[3].s.raw_signature.startswith("unknown|*|")
