@@ -108,3 +108,25 @@ def novelty(rows: DataFrame, history: DataFrame, full: list[Column], exe: list[C
         F.when(~quiet, F.col("b.first_seen")).alias("first_seen"), loud(new, False).alias("lineage_novel"),
         loud(F.round("sf", 3)).alias("surprise_full"), loud(F.round("se", 3)).alias("surprise_exe"), loud(F.round(score, 3)).alias("novelty_score"),
     )
+
+
+def allowed_to_bypass(level: Column, promoted: Column, role: Column, hosts: Column, *obstacles: Column) -> Column:
+    """Whether a known signature may skip the scan: on its host, or in a named role seen on two hosts; never by fleet, nor past an obstacle (decoded, cut off, indicators, routing features)."""
+    free = F.when(level == "host", promoted).when(level == "role", promoted & F.coalesce(role != "", F.lit(False)) & (hosts >= 2)).otherwise(F.lit(False))
+    for o in obstacles:
+        free = free & ~F.coalesce(o, F.lit(False))
+    return F.coalesce(free, F.lit(False))
+
+
+def decisions(bypass: Column, mode: str) -> tuple[Column, Column]:
+    """(status, whether to scan) in the mode learn, audit or enforce; auditing scans what it knows, too."""
+    if mode not in ("learn", "audit", "enforce"):
+        raise ValueError(f"no such mode: {mode}")
+    status = F.when(bypass, "known_stable").otherwise("learning" if mode == "learn" else "rare_or_novel")
+    return status, F.lit(True) if mode == "audit" else ~bypass
+
+
+def revoked(stats: DataFrame, revocations: DataFrame, keys: list[str]) -> DataFrame:
+    """Statistics without the promotion of the listed keys; a list of any size joins by key."""
+    gone = revocations.select(*keys).distinct().withColumn("gone", F.lit(True))
+    return stats.join(gone, keys, "left").withColumn("promoted", F.col("promoted") & F.col("gone").isNull()).drop("gone")
