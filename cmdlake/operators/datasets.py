@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cmdlake.operators.ranking import ranked
+
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key by a total order."""
@@ -43,8 +45,8 @@ def flagged(df: DataFrame, key: Column, other: DataFrame, other_key: Column, nam
 
 
 def capped(df: DataFrame, group: str, cap: int, order: Column) -> DataFrame:
-    """At most cap rows a group, chosen by a hash order: the operator's own limit."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("__n") <= cap).drop("__n")
+    """At most cap rows a group, the first by a hex digest: the operator's own limit."""
+    return ranked(df, order, "__n", (group,), most=cap).drop("__n")
 
 
 def above_minimum(df: DataFrame, group: str, least: int) -> DataFrame:
@@ -54,12 +56,10 @@ def above_minimum(df: DataFrame, group: str, least: int) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, group: str, order: Column, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """Adds split by the rank of a hash within the group; groups under three rows train whole."""
-    w = Window.partitionBy(group)
-    share = (F.row_number().over(w.orderBy(order)) - 1) / F.count("*").over(w)
-    return df.withColumn(
-        "split", F.when((F.count("*").over(w) < 3) | (share < train), "train").when(share < train + validation, "validation").otherwise("test")
-    )
+    """Adds split by the rank of a hex digest within the group; groups under three rows train whole."""
+    rows, n = ranked(df, order, "__n", (group,), total="__size"), F.col("__size")
+    share = (F.col("__n") - 1) / n
+    return rows.withColumn("split", F.when((n < 3) | (share < train), "train").when(share < train + validation, "validation").otherwise("test")).drop("__n", "__size")
 
 
 def split_overlaps(df: DataFrame, key: Column, split: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdlake.operators.ranking import running
+
 
 def softmax(scores: Column, temperature: Column | float = 1.0) -> Column:
     top = F.array_max(scores)
@@ -64,8 +66,7 @@ def temperature_losses(df: DataFrame, grid: list[float]) -> DataFrame:
 def best_threshold(df: DataFrame, score: str, target: str) -> DataFrame:
     """threshold and f1: the best F1 over distinct scores, ties to the one nearest one half."""
     by = df.groupBy(score).agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col(score).desc())
-    run = by.select(F.col(score).alias("threshold"), F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("said"))
+    run = running(by, score, {"tp": "pos", "said": "n"}).select(F.col(score).alias("threshold"), "tp", "said")
     all_pos = by.agg(F.sum("pos").alias("all_pos"))
     f1 = run.crossJoin(F.broadcast(all_pos)).withColumn("f1", F.round(2 * F.col("tp") / (F.col("said") + F.col("all_pos")), 9))
     return f1.agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.abs(F.col("threshold") - 0.5), "threshold")).alias("x")).select("x.*")
@@ -84,8 +85,7 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 def ranking_auc(df: DataFrame, score: str, target: str) -> DataFrame:
     """ROC-AUC over distinct scores (ties count half) and average precision; null if a class is missing."""
     by = df.groupBy(score).agg(F.sum(target).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col(score).desc())
-    run = by.withColumns({"neg": F.col("n") - F.col("pos"), "tp": F.sum("pos").over(down), "said": F.sum("n").over(down)})
+    run = running(by, score, {"tp": "pos", "said": "n"}).withColumn("neg", F.col("n") - F.col("pos"))
     # a positive outranks every negative of a lower score, and half of those that tie
     pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2))
     precise = F.sum(F.col("pos") * F.col("tp") / F.col("said"))

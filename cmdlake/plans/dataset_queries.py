@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cmdlake.functions.text import dedup_key
 from cmdlake.operators import datasets
 from cmdlake.operators.graph import key_components
+from cmdlake.operators.ranking import ranked
 
 QUERIES, ORACLE = {}, {}
 KEY = r"lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
@@ -171,8 +172,8 @@ def grp1_components(spark, sf_dir):
     "(SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('5:' || CAST(doc_id AS STRING))) AS n FROM documents)"
 )
 def dst16_fixed_split(spark, sf_dir):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy(F.sha2(F.concat(F.lit("5:"), F.col("doc_id").cast("string")), 256)))
-    return docs(spark, sf_dir).select("doc_id", "lang", F.when(n <= 3, "train").when(n == 4, "validation").otherwise("test").alias("split"))
+    rows = ranked(docs(spark, sf_dir).select("doc_id", "lang"), F.sha2(F.concat(F.lit("5:"), F.col("doc_id").cast("string")), 256), "n", ("lang",))
+    return rows.select("doc_id", "lang", F.when(F.col("n") <= 3, "train").when(F.col("n") == 4, "validation").otherwise("test").alias("split"))
 
 
 @query("SELECT lang, source, n FROM (SELECT lang, source, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS r FROM documents GROUP BY 1, 2) WHERE r <= 3")
