@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlake.llm import bpe_chunks, langid, mpeg_audio, near_dedup, packing, quality, substring_dedup, suffix_dedup, token_counts, warc
+from cmdlake.llm import bpe_chunks, centroids, curve_search, langid, mpeg_audio, near_dedup, packing, quality, spelling, substring_dedup, suffix_dedup, token_counts, warc
 from cmdlake.llm.common import cut, table
 
 
@@ -57,8 +57,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.search(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_substring_dedup, op3_language_id, op4_bpe, op5_quality, op6_near_dedup, op7_warc, op8_token_counts, op9_mpeg_audio, op10_packing]
+    found = [op1_suffix_dedup, op2_substring_dedup, op3_language_id, op4_bpe, op5_quality, op6_near_dedup, op7_warc, op8_token_counts, op9_mpeg_audio, op10_packing, op11_centroids, op12_curve_search, op13_spelling]
     return {f.__name__: f for f in found}
 
 
