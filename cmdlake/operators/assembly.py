@@ -121,34 +121,6 @@ def shuffled_split(df: DataFrame, order: Column) -> DataFrame:
     return rows.withColumn("split", shares(F.col("__rank"), F.col("__size"))).drop("__rank", "__size")
 
 
-def isolated_split(df: DataFrame, group: str, heavy: int = 1000) -> DataFrame:
-    """df with split, whole groups to one side: the ``heavy`` largest ones go, in order of size, to the side that lacks most; the others by hash.
-
-    Only the heavy groups' sizes, bounded by the parameter, are dealt in one task.
-    """
-    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    top = sizes.orderBy(F.desc("n"), F.sha2(F.col(group).cast("string"), 256)).limit(heavy)
-    field = sizes.schema[group].dataType.simpleString()
-
-    def deal(frames):
-        import pandas as pd
-
-        for frame in frames:
-            left = {"train": 0.8 * total, "validation": 0.1 * total, "test": 0.1 * total}
-            sides = []
-            for n in frame["n"]:
-                side = max(left, key=left.get)
-                left[side] -= n
-                sides.append(side)
-            yield pd.DataFrame({group: frame[group], "heavy": sides})
-
-    dealt = top.coalesce(1).sortWithinPartitions(F.desc("n"), F.sha2(F.col(group).cast("string"), 256)).mapInPandas(deal, f"`{group}` {field}, heavy string")
-    tail = F.conv(F.substring(F.sha2(F.col(group).cast("string"), 256), 1, 8), 16, 10).cast("long") / F.lit(0x100000000)
-    by_hash = F.when(tail < 0.8, "train").when(tail < 0.9, "validation").otherwise("test")
-    return df.join(dealt, group, "left").withColumn("split", F.coalesce("heavy", by_hash)).drop("heavy")
-
-
 def disjoint(df: DataFrame, key: Column, split: str) -> DataFrame:
     """df unchanged; a key in two splits is an error when its row is read."""
     sides = df.groupBy(key.alias("__key")).agg((F.min(split) != F.max(split)).alias("__both"))

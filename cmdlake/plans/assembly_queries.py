@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cmdlake.functions.text import dedup_key
-from cmdlake.operators import assembly, datasets
+from cmdlake.operators import assembly, datasets, splits
 from cmdlake.plans.behaviour_queries import _STRENGTH
 from cmdlake.plans.dataset_queries import KEY, docs
 from cmdlake.plans.triage_queries import RULED, ruled
@@ -128,8 +128,8 @@ def dst14_oversampling(spark, sf_dir):
 
 @query("SELECT source, count(*) AS n, 1 AS n_splits FROM documents GROUP BY 1")
 def dst10_dst11_isolated_split(spark, sf_dir):
-    """The split itself is greedy; what SQL can tell is that no group is divided or lost."""
-    rows = assembly.isolated_split(docs(spark, sf_dir).select("doc_id", "source"), "source", heavy=5)
+    """What this SQL tells is that no group is divided or lost; dst10_component_split and dst11_label_balanced_split hold the dealing."""
+    rows = splits.isolated_split(docs(spark, sf_dir).select("doc_id", "source"), "source")
     return rows.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("split").cast("int").alias("n_splits"))
 
 
