@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,26 +50,38 @@ def evaluated(df: DataFrame, signature: str = "signature", sensitive: Column | N
     """What the host's baseline knew before each row: count, days, novelty of the parent, surprise, promotion.
 
     Promotion needs enough sightings on enough days with no flagged (probable or sensitive) sighting up to then.
+    Rows are ordered within a day alone; whole days are counted first and added up, so that no host and no signature is
+    ever sorted in one task.
     """
-    own = Window.partitionBy("host_id", signature).orderBy("ts", "event_id")
-    before, upto = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(Window.unboundedPreceding, 0)
-    parent = Window.partitionBy("host_id", signature, "parent_process").orderBy("ts", "event_id")
-    host = Window.partitionBy("host_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    new_day = (F.row_number().over(Window.partitionBy("host_id", signature, F.to_date("ts")).orderBy("ts", "event_id")) == 1).cast("long")
-    df = df.withColumns({"new_day": new_day, "flag": (F.coalesce(F.col("probability") >= MOST_PROBABILITY, F.lit(False)) | F.coalesce(F.lit(False) if sensitive is None else sensitive, F.lit(False))).cast("long")})
-    df = df.withColumns({
-        "seen_before": F.coalesce(F.count("*").over(before), F.lit(0)),
-        "days_upto": F.sum("new_day").over(upto),
-        "flags_upto": F.sum("flag").over(upto),
-        "lineage_novel": F.row_number().over(parent) == 1,
-        "host_before": F.coalesce(F.count("*").over(host), F.lit(0)),
-    })
-    promoted = (F.col("seen_before") + 1 >= LEAST_SIGHTINGS) & (F.col("days_upto") >= LEAST_DAYS) & (F.col("flags_upto") == 0)
-    df = df.withColumns({
-        "promoted_upto": promoted,
-        "surprise_full": F.when(F.col("seen_before") > 0, F.round(surprise(F.col("seen_before"), F.col("host_before")), 3)),
-    })
-    return df.withColumn("known_stable", F.coalesce(F.lag("promoted_upto").over(own), F.lit(False)) & ~F.col("lineage_novel"))
+    probable = F.coalesce(F.col("probability") >= MOST_PROBABILITY, F.lit(False))
+    flag = probable | F.coalesce(F.lit(False) if sensitive is None else sensitive, F.lit(False))
+    rows = df.withColumns({"flag": flag.cast("long"), "__day": F.to_date("ts")})
+    within = lambda *by: Window.partitionBy("host_id", *by, "__day").orderBy("ts", "event_id")
+    rows = rows.withColumns({
+        "__n": F.row_number().over(within(signature)) - 1, "__flags": F.sum("flag").over(within(signature)),
+        "__parent": F.row_number().over(within(signature, "parent_process")), "__host": F.row_number().over(within()) - 1,
+    })
+    days = rows.groupBy("host_id", F.col(signature).alias("__s"), "__day").agg(F.count("*").alias("n"), F.sum("flag").alias("f"))
+    earlier = lambda c, *by: F.coalesce(F.sum(c).over(Window.partitionBy("host_id", *by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hosts = days.groupBy("host_id", "__day").agg(F.sum("n").alias("n")).select(F.col("host_id").alias("__h2"), F.col("__day").alias("__d2"), earlier("n").alias("__host_days"))
+    nth = F.row_number().over(Window.partitionBy("host_id", "__s").orderBy("__day"))
+    days = days.select(F.col("host_id").alias("__h1"), "__s", F.col("__day").alias("__d1"), earlier("n", "__s").alias("__n_days"), earlier("f", "__s").alias("__f_days"), nth.alias("__nth"))
+    first = rows.groupBy(F.col("host_id").alias("__h3"), F.col(signature).alias("__s3"), F.col("parent_process").alias("__p3")).agg(F.min("__day").alias("__first"))
+    same = lambda *pairs: reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
+    rows = rows.join(days, same(("host_id", "__h1"), (signature, "__s"), ("__day", "__d1"))).join(hosts, same(("host_id", "__h2"), ("__day", "__d2")))
+    rows = rows.join(first, same(("host_id", "__h3"), (signature, "__s3"), ("parent_process", "__p3")))
+    seen, flags = F.col("__n_days") + F.col("__n"), F.col("__f_days") + F.col("__flags")
+    stable = lambda n, d, f: (n >= LEAST_SIGHTINGS) & (d >= LEAST_DAYS) & (f == 0)
+    new = (F.col("__n") == 0).cast("long")
+    rows = rows.withColumns({
+        "new_day": new, "seen_before": seen, "days_upto": F.col("__nth").cast("long"), "flags_upto": flags, "host_before": F.col("__host_days") + F.col("__host"),
+        "lineage_novel": (F.col("__day") == F.col("__first")) & (F.col("__parent") == 1),
+        "promoted_upto": stable(seen + 1, F.col("__nth"), flags),
+        "surprise_full": F.when(seen > 0, F.round(surprise(seen, F.col("__host_days") + F.col("__host")), 3)),
+        "__before": stable(seen, F.col("__nth") - new, flags - F.col("flag")),
+    })
+    rows = rows.withColumn("known_stable", F.col("__before") & ~F.col("lineage_novel"))
+    return rows.drop("__day", "__n", "__flags", "__parent", "__host", "__h1", "__s", "__d1", "__n_days", "__f_days", "__nth", "__h2", "__d2", "__host_days", "__h3", "__s3", "__p3", "__first", "__before")
 
 
 def backed_off(rows: DataFrame, history: DataFrame, keys: list[Column], name: str, signature: str = "signature") -> DataFrame:
@@ -80,6 +94,18 @@ def backed_off(rows: DataFrame, history: DataFrame, keys: list[Column], name: st
     return found.groupBy("event_id").agg(F.coalesce(bits, F.lit(UNKNOWN)).alias(name))
 
 
+def _learning(history: DataFrame, signature: str, sensitive: Column | None) -> DataFrame:
+    """Every sighting for every scope that learns from it: role and fleet only if the host neither promoted nor ever flagged it."""
+    return scoped(evaluated(history, signature, sensitive)).filter("level = 'host' or (flags_upto = 0 and not promoted_upto)")
+
+
+def learnt(history: DataFrame, signature: str = "signature", sensitive: Column | None = None) -> DataFrame:
+    """level, scope_id, __key (the signature), seen_count, first_seen, promoted and flagged."""
+    return _learning(history, signature, sensitive).groupBy("level", "scope_id", F.col(signature).alias("__key")).agg(
+        F.count("*").alias("seen_count"), F.min("ts").alias("first_seen"), F.max("promoted_upto").alias("promoted"), F.max("flag").alias("flagged"),
+    )
+
+
 def novelty(rows: DataFrame, history: DataFrame, full: list[Column], exe: list[Column], signature: str = "signature", sensitive: Column | None = None) -> DataFrame:
     """Each row's status, scope, seen_count, first_seen, lineage_novel, surprises and novelty_score by a history.
 
@@ -87,12 +113,8 @@ def novelty(rows: DataFrame, history: DataFrame, full: list[Column], exe: list[C
     learn from a sighting only if the host neither promoted nor ever flagged it.  event_id is unique in rows.
     A column in_maintenance_window of rows, if there, silences the scores.
     """
-    known = evaluated(history, signature, sensitive)
-    learnt = scoped(known).filter("level = 'host' or (flags_upto = 0 and not promoted_upto)")
-    stats = learnt.groupBy("level", "scope_id", F.col(signature).alias("__key")).agg(
-        F.count("*").alias("seen_count"), F.min("ts").alias("first_seen"), F.max("promoted_upto").alias("promoted"), F.max("flag").alias("flagged"),
-    )
-    parents = learnt.groupBy("level", "scope_id", F.col(signature).alias("__key"), "parent_process").agg(F.lit(True).alias("parent_known"))
+    stats = learnt(history, signature, sensitive)
+    parents = _learning(history, signature, sensitive).groupBy("level", "scope_id", F.col(signature).alias("__key"), "parent_process").agg(F.lit(True).alias("parent_known"))
     rank = F.when(F.col("level") == "host", 0).when(F.col("level") == "role", 1).otherwise(2)
     seen = scoped(rows.withColumn("__key", F.col(signature))).join(stats, ["level", "scope_id", "__key"]).join(parents, ["level", "scope_id", "__key", "parent_process"], "left")
     best = seen.groupBy("event_id").agg(F.min_by(F.struct("level", "seen_count", "first_seen", "promoted", "flagged", "parent_known"), rank).alias("b"))

@@ -357,12 +357,16 @@ _SLOT = (
 )
 
 
-@query(
+#: CTE sg: event_id, exe, sub0, flags and slots of each command.
+SIGNATURE = (
     PARSED + f", k AS (SELECT event_id, i, toks[i] AS t, trim(toks[i + 1], chr(34) || chr(39)) AS nx FROM (SELECT event_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM p)), "
     f"cf AS (SELECT event_id, {_CANON.format('t')} AS f, nx FROM k WHERE {_IS.format('t')} AND {_CANON.format('t')} <> ''), uf AS (SELECT event_id, f FROM cf UNION SELECT event_id, f || ':' || {_CANON.format('nx')} FROM cf WHERE nx <> '' AND NOT {_IS.format('nx')}), "
     "fl AS (SELECT event_id, array_to_string(list_sort(list(DISTINCT f)), ',') AS flags FROM uf GROUP BY 1), "
-    f"sl AS (SELECT event_id, exe, sub0, array_to_string(list_sort(list_distinct(list_concat(list_transform(paths, lambda p: {_PLACE}), CASE WHEN len(urls) > 0 THEN ['<URL>'] ELSE [] END, CASE WHEN len(ips) > 0 THEN ['<IP>'] ELSE [] END, CASE WHEN len(regs) > 0 THEN ['<REGKEY>'] ELSE [] END, list_transform(args, lambda a: {_SLOT})))), ',') AS slots FROM p) "
-    "SELECT event_id, exe || '|' || coalesce(sub0, '*') || '|' || coalesce(flags, '') || '|' || slots AS raw_signature FROM sl LEFT JOIN fl USING (event_id)"
+    f"sl AS (SELECT event_id, exe, sub0, array_to_string(list_sort(list_distinct(list_concat(list_transform(paths, lambda p: {_PLACE}), CASE WHEN len(urls) > 0 THEN ['<URL>'] ELSE [] END, CASE WHEN len(ips) > 0 THEN ['<IP>'] ELSE [] END, CASE WHEN len(regs) > 0 THEN ['<REGKEY>'] ELSE [] END, list_transform(args, lambda a: {_SLOT})))), ',') AS slots FROM p), "
+    "sg AS (SELECT sl.event_id, exe, coalesce(sub0, '*') AS verb, coalesce(flags, '') AS flags, slots FROM sl LEFT JOIN fl USING (event_id))"
 )
+
+
+@query(SIGNATURE + " SELECT event_id, exe || '|' || verb || '|' || flags || '|' || slots AS raw_signature FROM sg")
 def bas1_signature(spark, sf_dir):
     return parsed(spark, sf_dir).select("event_id", triage.signature().alias("s")).select("event_id", "s.raw_signature")
