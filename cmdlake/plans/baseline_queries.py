@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cmdlake.operators import baseline, triage
+from cmdlake.operators.graph import checkpointed
 from cmdlake.plans.curation_queries import SIGNATURE
 from cmdlake.sources.gallery import GALLERY_SQL, HABITS_SQL, gallery
 
@@ -58,7 +59,7 @@ FULL, EXE = ["signature", "k2", "k1", "exe"], ["exe", "k0", "k1", "exe"]
 
 
 def halves(spark, sf_dir):
-    s = sighted(spark, sf_dir)
+    s = checkpointed(sighted(spark, sf_dir))  # parsed once, read for every scope
     return s.filter(F.col("ts") >= CUT), s.filter(F.col("ts") < CUT)
 
 
