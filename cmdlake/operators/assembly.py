@@ -186,20 +186,3 @@ def review_queue(found: DataFrame, key: str, template: Column, count: int) -> Da
     once = rows.groupBy("__template").agg(F.min_by(F.struct(*found.columns), F.struct("reason", F.sha2(F.col(key).cast("string"), 256))).alias("r")).select("r.*")
     quota = {r: count // 4 for r in ("both_wrong_alike", "both_wrong_apart", "first_wrong", "second_wrong")}
     return by_quota(once, key, "reason", quota, count, F.sha2(F.col(key).cast("string"), 256))
-
-
-def bootstrap_macro_f1(df: DataFrame, group: str, classes: list[int], draws: int, seed: int = 0) -> DataFrame:
-    """low, mean, high of macro-F1 over resampled groups: counts by (group, class), then a weight array a group, summed elementwise."""
-    counts = df.select(group, F.explode(F.array_distinct(F.array("target", "prediction"))).alias("c"), "target", "prediction").groupBy(group, "c").agg(
-        F.sum(((F.col("target") == F.col("c")) & (F.col("prediction") == F.col("c"))).cast("long")).alias("tp"),
-        F.sum(((F.col("target") == F.col("c")) & (F.col("prediction") != F.col("c"))).cast("long")).alias("fn"), F.sum(((F.col("target") != F.col("c")) & (F.col("prediction") == F.col("c"))).cast("long")).alias("fp"),
-    )
-    # Poisson(1) weights by inversion of a hashed uniform
-    u = lambda d: F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), d.cast("string"), F.col(group).cast("string")), 256), 1, 8), 16, 10).cast("long") / F.lit(0x100000000)
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    weight = lambda d: F.size(F.filter(F.array(*map(F.lit, steps)), lambda s: s <= u(d)))
-    each = counts.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight(F.col("d")))
-    summed = each.groupBy("d", "c").agg(*[F.sum(F.col(x) * F.col("w")).alias(x) for x in ("tp", "fn", "fp")])
-    f1 = F.when(2 * F.col("tp") + F.col("fn") + F.col("fp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fn") + F.col("fp"))).otherwise(0.0)
-    macro = summed.filter(F.col("c").isin(*classes)).groupBy("d").agg((F.sum(f1) / len(classes)).alias("m"))
-    return macro.agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count("*").alias("draws"))

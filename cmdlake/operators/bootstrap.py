@@ -89,12 +89,14 @@ def _macro(s: Column, first: int, n: int) -> Column:
 
 
 def paired_comparison(rows: DataFrame, group: str, classes: list, tops: tuple[int, ...] = (1, 2), draws: int = 2000, seed: int = 42) -> DataFrame:
-    """One row for rows of paired_rows: n, groups, and b's less a's macro-F1 and share of targets among its first 1, 2, ..., each with its interval."""
+    """One row for rows of paired_rows: n, groups, and b's less a's macro-F1 (if classes are given) and share of targets among its first 1, 2, ..., each with its interval."""
     stats = [F.lit(1), *[_hits("b", k) - _hits("a", k) for k in tops], *[c for side in "ab" for x in classes for c in _cells(side, x)]]
     names = [f"s{i}" for i in range(len(stats))]
     groups = rows.groupBy(group).agg(*[F.sum(c).alias(n) for c, n in zip(stats, names, strict=True)])
     s, at = F.col("s"), 1 + len(tops)
-    deltas = {f"top{k}": s[i + 1] / s[0] for i, k in enumerate(tops)} | {"macro_f1": _macro(s, at + 2 * len(classes), len(classes)) - _macro(s, at, len(classes))}
+    deltas = {f"top{k}": s[i + 1] / s[0] for i, k in enumerate(tops)}
+    if classes:
+        deltas["macro_f1"] = _macro(s, at + 2 * len(classes), len(classes)) - _macro(s, at, len(classes))
     whole = groups.agg(F.array(*[F.sum(n).cast("double") for n in names]).alias("s"), F.count("*").alias("groups"))
     whole = whole.select(s[0].cast("long").alias("n"), "groups", *[v.alias(n) for n, v in deltas.items()])
     drawn = drawn_sums(groups, group, [F.col(n) for n in names], draws, seed)
@@ -105,3 +107,13 @@ def family_deltas(rows: DataFrame, group: str) -> DataFrame:
     """Of each group: n, the right answers of a and b, and what b gains."""
     a, b = F.sum(_hits("a", 1)), F.sum(_hits("b", 1))
     return rows.groupBy(group).agg(F.count("*").alias("n"), a.alias("hits_a"), b.alias("hits_b"), ((b - a) / F.count("*")).alias("delta"))
+
+
+def macro_f1(rows: DataFrame, group: str, classes: list, draws: int, seed: int = 0) -> DataFrame:
+    """low, mean, high and draws of the macro-F1 of rows of target and prediction."""
+    one = rows.select(group, "target", F.array("prediction").alias("a"))
+    stats = [c for x in classes for c in _cells("a", x)]
+    names = [f"s{i}" for i in range(len(stats))]
+    drawn = drawn_sums(one.groupBy(group).agg(*[F.sum(c).alias(n) for c, n in zip(stats, names, strict=True)]), group, [F.col(n) for n in names], draws, seed)
+    m = drawn.select(_macro(F.col("s"), 0, len(classes)).alias("m"))
+    return m.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.avg("m"), 6).alias("mean"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"), F.count("*").alias("draws"))

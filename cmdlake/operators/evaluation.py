@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdlake.operators import bootstrap
 from cmdlake.operators.ranking import running
 
 
@@ -101,27 +103,11 @@ def error_rates(df: DataFrame, benign: int, classes: list[int]) -> DataFrame:
     return own.agg(*[F.round(F.avg((F.col("prediction") == c).cast("double")), 6).alias(f"benign_as_{c}") for c in classes])
 
 
-def _poisson(*parts: Column) -> Column:
-    """A Poisson(1) weight from a hash."""
-    u = (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, mass, total = [], 0.36787944117144233, 0.0
-    for k in range(9):
-        total += mass
-        steps.append(total)
-        mass /= k + 1
-    return sum((u > s).cast("int") for s in steps)
-
-
 def group_bootstrap(df: DataFrame, group: str, value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
-    """low, high: 2.5 and 97.5 percent quantiles of the mean when whole groups are drawn anew.
-
-    Rows shrink to one sum per group first; each (draw, group) then gets a Poisson(1) weight
-    from a hash, so no draw is ever gathered.
-    """
+    """low, high: 2.5 and 97.5 percent quantiles of the mean when whole groups are drawn anew."""
     sums = df.groupBy(group).agg(F.sum(value).alias("s"), F.count("*").alias("n"))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", _poisson(F.col(group), F.col("draw"), F.lit(seed)))
-    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
-    return means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"))
+    means = bootstrap.drawn_sums(sums, group, [F.col("s"), F.col("n")], draws, seed)
+    return bootstrap.interval(means, mean=F.col("s")[0] / F.col("s")[1]).toDF("low", "high")
 
 
 def paired_bootstrap(left: DataFrame, right: DataFrame, key: str, group: str, draws: int = 2000, seed: int = 42) -> DataFrame:
@@ -129,17 +115,50 @@ def paired_bootstrap(left: DataFrame, right: DataFrame, key: str, group: str, dr
 
     Both hold key, prediction, target and left the group.  Keys, each once, and targets must be the same on both sides.
     """
-    a = left.select(key, F.col(group).alias("__g"), F.col("target").alias("__t"), (F.col("prediction") == F.col("target")).cast("long").alias("__a"), F.lit(1).alias("__l"))
-    b = right.select(key, F.col("target").alias("__u"), (F.col("prediction") == F.col("target")).cast("long").alias("__b"), F.lit(1).alias("__r"))
-    same = F.col("__l").isNotNull() & F.col("__r").isNotNull() & F.col("__t").eqNullSafe(F.col("__u"))
-    rows = a.join(b, key, "full").withColumn("__d", F.when(same, F.col("__b") - F.col("__a")).otherwise(F.raise_error(F.lit("keys or targets of the two tables differ")).cast("long")))
-    once = rows.groupBy(key).agg(F.count("*").alias("__k"), F.first("__g").alias("__g"), F.sum("__d").alias("__d"))
-    once = once.withColumn("__d", F.when(F.col("__k") == 1, F.col("__d")).otherwise(F.raise_error(F.lit("a key occurs twice")).cast("long")))
-    sums = once.groupBy("__g").agg(F.sum("__d").alias("s"), F.count("*").alias("n"))
-    whole = sums.agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("delta"))
-    drawn = sums.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", _poisson(F.col("__g"), F.col("draw"), F.lit(seed)))
-    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean"))
-    return whole.crossJoin(means.agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high")))
+    one = F.array("prediction").alias("ranked")
+    rows = bootstrap.paired_rows(left.select(key, group, "target", one), right.select(key, "target", one), key, group)
+    found = bootstrap.paired_comparison(rows, group, [], (1,), draws, seed)
+    return found.select("n", F.col("top1").alias("delta"), F.col("top1_low").alias("low"), F.col("top1_high").alias("high"))
+
+
+def top_k_rates(df: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """n and the share of rows whose target is among their k likeliest classes, for each k; of equal probabilities the earlier class comes first."""
+    own = F.element_at("probabilities", F.col("target").cast("int") + 1)
+    ahead = F.size(F.filter("probabilities", lambda p, i: (p > own) | ((p == own) & (i < F.col("target")))))
+    return df.agg(F.count("*").alias("n"), *[F.round(F.avg((ahead < k).cast("double")), 6).alias(f"top{k}") for k in ks])
+
+
+def fitted_temperature(df: DataFrame, low: float = -4.0, high: float = 4.0, rounds: int = 60) -> tuple[float, float, float]:
+    """(temperature, loss at 1, loss at it) of rows of scores and a target: the one in [e**low, e**high] of least mean negative log likelihood.
+
+    The loss is convex in the inverse temperature u.  Each round is one aggregate of the loss and its two derivatives at one u; Newton's
+    step is taken where it stays between the bounds that the slopes so far have set, and their geometric mean where it
+    doesn't.  1 stays if nothing is better; no rows give 1 and no loss.
+    """
+    z, u_of = F.col("scores"), lambda t: float(np.exp(-t))
+
+    def at(u: float):
+        p = softmax(z, 1 / u)
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        mean, own = dot(p, z), F.element_at(z, F.col("target").cast("int") + 1)
+        loss = F.avg(-F.log(F.greatest(F.element_at(p, F.col("target").cast("int") + 1), F.lit(1e-12))))
+        return df.agg(loss, F.avg(mean - own), F.avg(dot(p, F.transform(z, lambda x: x * x)) - mean * mean)).first()
+
+    least, most, u = u_of(high), u_of(low), 1.0
+    before = at(u)
+    loss, slope, curve = before
+    if loss is None:
+        return 1.0, None, None
+    for _ in range(rounds):
+        least, most = (u, most) if slope < 0 else (least, u)
+        step = u - slope / curve if curve > 0 else 0.0
+        following = step if least < step < most else float(np.sqrt(least * most))
+        done = abs(np.log(following / u)) < 1e-9 or np.log(most / least) < 1e-9
+        u = following
+        if done:
+            break
+        loss, slope, curve = at(u)
+    return (1 / u, before[0], loss) if loss < before[0] else (1.0, before[0], before[0])
 
 
 def averaged_report(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cmdlake.functions.text import dedup_key
-from cmdlake.operators import assembly, datasets, splits
+from cmdlake.operators import assembly, bootstrap, datasets, splits
 from cmdlake.plans.behaviour_queries import _STRENGTH
 from cmdlake.plans.dataset_queries import KEY, docs
 from cmdlake.plans.triage_queries import RULED, ruled
@@ -218,8 +218,42 @@ def eva17_adoption(spark, sf_dir):
     return by.agg(F.when(F.bool_and(better), "adopt").when(F.bool_or(better), "mixed").otherwise("skip").alias("decision"), F.count("*").alias("n_splits"))
 
 
-@query()
+_DRAWN = f", d AS (SELECT CAST(unnest(range(1, 201)) AS BIGINT) AS draw), w AS (SELECT family, draw, {bootstrap.weights_sql('family', 0, 'draw')} AS w FROM (SELECT DISTINCT vec_id % 40 AS family FROM m) CROSS JOIN d)"
+
+
+def _macro_sql(guess: str) -> str:
+    f1 = [f"CASE WHEN sum(w * (CAST(truth = {c} AS INT) + CAST({guess} = {c} AS INT))) > 0 THEN 2 * sum(w * CAST(truth = {c} AND {guess} = {c} AS INT)) / sum(w * (CAST(truth = {c} AS INT) + CAST({guess} = {c} AS INT))) ELSE 0.0 END" for c in range(3)]
+    return f"(({') + ('.join(f1)})) / 3"
+
+
+@query(_MODELS + _DRAWN + f", x AS (SELECT draw, {_macro_sql('a')} AS m FROM m JOIN w ON w.family = m.vec_id % 40 GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 6) AS low, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS draws FROM x")
 def eva10_bootstrap_macro_f1(spark, sf_dir):
     truth, first, _ = models(spark, sf_dir)
     rows = truth.join(first, "vec_id").select((F.col("vec_id") % 40).alias("family"), F.col("truth").alias("target"), F.col("label").alias("prediction"))
-    return assembly.bootstrap_macro_f1(rows, "family", [0, 1, 2], 200)
+    return bootstrap.macro_f1(rows, "family", [0, 1, 2], 200)
+
+
+def paired(spark, sf_dir):
+    """Two models' rankings of three classes: the guess, then the next class."""
+    truth, first, second = models(spark, sf_dir)
+    side = lambda df: truth.join(df, "vec_id").select("vec_id", (F.col("vec_id") % 40).alias("family"), F.col("truth").alias("target"), F.array("label", (F.col("label") + 1) % 3, (F.col("label") + 2) % 3).alias("ranked"))
+    return bootstrap.paired_rows(side(first), side(second).drop("family"), "vec_id", "family")
+
+
+_TOP2 = "(CAST(truth IN (b, (b + 1) % 3) AS INT) - CAST(truth IN (a, (a + 1) % 3) AS INT))"
+_TOP1 = "(CAST(truth = b AS INT) - CAST(truth = a AS INT))"
+_ENDS = ", ".join(f"round(quantile_cont({n}, {q}), 6) AS {n}_{end}" for n in ("top1", "top2", "macro_f1") for end, q in (("low", 0.025), ("high", 0.975)))
+
+
+@query(
+    _MODELS + _DRAWN + f", x AS (SELECT draw, sum(w * {_TOP1}) / sum(w) AS top1, sum(w * {_TOP2}) / sum(w) AS top2, {_macro_sql('b')} - {_macro_sql('a')} AS macro_f1 FROM m JOIN w ON w.family = m.vec_id % 40 GROUP BY 1), "
+    f"y AS (SELECT {_ENDS} FROM x), v AS (SELECT *, 1 AS w FROM m), z AS (SELECT count(*) AS n, count(DISTINCT vec_id % 40) AS groups, round(avg({_TOP1}), 6) AS top1, round(avg({_TOP2}), 6) AS top2, round({_macro_sql('b')} - {_macro_sql('a')}, 6) AS macro_f1 FROM v) SELECT * FROM z, y"
+)
+def eva9_eva10_paired_comparison(spark, sf_dir):
+    found = bootstrap.paired_comparison(paired(spark, sf_dir), "family", [0, 1, 2], (1, 2), 200, 0)
+    return found.select("n", "groups", *[F.round(c, 6).alias(c) for c in found.columns[2:]])
+
+
+@query(_MODELS + " SELECT vec_id % 40 AS family, count(*) AS n, CAST(sum(CAST(a = truth AS INT)) AS BIGINT) AS hits_a, CAST(sum(CAST(b = truth AS INT)) AS BIGINT) AS hits_b, round(avg(" + _TOP1 + "), 6) AS delta FROM m GROUP BY 1")
+def eva9_family_deltas(spark, sf_dir):
+    return bootstrap.family_deltas(paired(spark, sf_dir), "family").withColumn("delta", F.round("delta", 6))
