@@ -15,7 +15,6 @@ columns are not read.  An empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import numpy as np
 import pandas as pd
 from pyspark import SparkContext
@@ -26,7 +25,11 @@ from cmdlake.llm.common import chunks
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 20_000
 BUCKETS, ORDERS, SCALE = 1 << 17, 3, 40.0
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numbers such as ½, ² or Ⅷ are none."""
+    return any(map(str.isalpha, text))
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -102,7 +105,10 @@ def predict(texts: list[str], model: dict) -> np.ndarray:
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict | None:
-    """Fit on an expected ``rows`` of (text, lang); the draw depends on each text alone and is even over languages."""
+    """Fit on an expected ``rows`` of (text, lang) at most; the draw depends on each text alone and is even over languages.
+
+    Copies of a text count once, so that however often a drawn text repeats, the driver gets it once.
+    """
     labelled = labelled.filter(F.length("text") <= SAMPLE_CHARS)
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
@@ -110,7 +116,7 @@ def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> dict | None:
     each = rows / len(sizes)
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))]), F.col("lang"))
     drawn = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * float(1 << 30))
-    sample = sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").collect() if _LETTER.search(r["text"]))
+    sample = sorted((r["text"], r["lang"]) for r in drawn.select("text", "lang").distinct().collect() if has_letter(r["text"]))
     return fit([(counts(t), lang) for t, lang in sample]) if sample else None
 
 
@@ -118,7 +124,7 @@ def verdicts(texts: list[str | None], model: dict | None) -> tuple[list[str], np
     """Language and calibrated probability of each text."""
     lang, score = ["und"] * len(texts), np.zeros(len(texts))
     for a, b in chunks(texts):
-        known = [i for i in range(a, b) if model and texts[i] and _LETTER.search(texts[i])]
+        known = [i for i in range(a, b) if model and texts[i] and has_letter(texts[i])]
         if known:
             p = predict([texts[i] for i in known], model)
             for i, k, s in zip(known, p.argmax(axis=1), p.max(axis=1), strict=True):

@@ -207,3 +207,18 @@ def test_pipeline_keeps_null_columns_and_empty_tables(spark):
         assert stage(spark, docs, SF).count() <= max(3, docs.count()), name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(packed) == 3 and hashlib.sha256(b"").hexdigest()  # a piece for each row, null and empty ones too
+
+
+def test_numbers_are_no_letters_and_copies_count_once(spark):
+    """Text without a letter is undetermined; a text that repeats a thousand times is drawn once."""
+    rows = [(f"the cat number {i} sat there", "en") for i in range(60)] + [(f"le chat numero {i} est ici", "fr") for i in range(60)] + [("the same again", "en")] * 1000
+    seen = []
+    model = langid.fit
+    try:
+        langid.fit = lambda rows: seen.extend(rows) or model(rows)
+        fitted = langid.train(spark.createDataFrame(rows, "text string, lang string"))
+    finally:
+        langid.fit = model
+    assert len(seen) <= 121
+    assert langid.verdicts(["½ ²", "Ⅷ ① ३", "12 34", "a", "字"], fitted)[0][:3] == ["und"] * 3
+    assert "und" not in langid.verdicts(["the ½", "字"], fitted)[0]
