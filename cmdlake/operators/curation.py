@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cmdlake.functions.text import strip
+from cmdlake.operators.ranking import sums_before
 
 # Fixed values.
 TAGS = (
@@ -130,11 +131,10 @@ def ratio_deficits(counts: dict[str, int], ratios: dict[str, float], base: str)
 
 
 def held_out_groups(rows: DataFrame, group: str, share: float, seed: int) -> DataFrame:
-    """rows with holdout: whole groups in a hashed order until their rows reach the share; order and sums are over groups."""
+    """rows with holdout: whole groups in a hashed order until their rows reach the share; sums run over slots of groups, never over all in one task."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256))
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    marked = sizes.select(group, (before < F.round(F.sum("n").over(Window.partitionBy()) * share)).alias("holdout"))
+    order = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group).cast("string")), 256)
+    marked = sums_before(sizes, order, "n", "before", "all").select(group, (F.col("before") < F.round(F.col("all") * share)).alias("holdout"))
     return rows.join(marked, group)
 
 

@@ -45,3 +45,13 @@ def running(df: DataFrame, value: str, sums: dict[str, str]) -> DataFrame:
     own = Window.partitionBy("__slot").orderBy(F.desc(value))
     out = rows.join(before, "__slot").withColumns({n: F.sum(c).over(own) + F.col(f"__b_{n}") for n, c in sums.items()})
     return out.drop("__slot", *[f"__b_{n}" for n in sums])
+
+
+def sums_before(df: DataFrame, digest: Column, value: str, name: str, total: str) -> DataFrame:
+    """df with the sum of a column over all rows before it by a hex digest, and over all rows; equal digests have no order."""
+    rows = df.withColumns({"__order": digest, "__slot": F.substring(digest, 1, DIGITS)})
+    slots = rows.groupBy("__slot").agg(F.sum(value).alias("__in"))
+    every = Window.partitionBy(F.lit(0))  # over at most 16**DIGITS slots
+    starts = slots.select("__slot", (F.sum("__in").over(every.orderBy("__slot")) - F.col("__in")).alias("__start"), F.sum("__in").over(every).alias(total))
+    own = Window.partitionBy("__slot").orderBy("__order").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(starts, "__slot").withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(own), F.lit(0))).drop("__order", "__slot", "__start")
