@@ -52,13 +52,18 @@ CLASS_ACTION = {
 }
 # Residual text: tokens by tool, by tool and subcommand, by registry path, by file suffix; masks in order.
 TOOL_TOKENS = {
-    "TRANSFER": "curl wget certutil bitsadmin invoke-webrequest invoke-restmethod start-bitstransfer scp sftp",
-    "REGISTRY": "reg reg.exe set-itemproperty new-itemproperty remove-itemproperty get-itemproperty", "SCHED_TASK": "schtasks schtasks.exe at at.exe crontab", "SERVICE": "sc sc.exe systemctl service new-service set-service",
-    "POWERSHELL": "powershell powershell.exe pwsh pwsh.exe", "CMD_SHELL": "cmd cmd.exe", "SHELL": "bash sh zsh", "WMI": "wmic wmic.exe", "NET_CMD": "net net.exe net1 net1.exe dsquery",
-    "IDENTITY_QUERY": "whoami id", "NET_QUERY": "ipconfig ifconfig netstat arp nslookup", "SYS_QUERY": "systeminfo hostname uname", "PROC_QUERY": "tasklist ps get-process", "FILE_ENUM": "dir ls find get-childitem",
-    "CRED_TOOL": "mimikatz secretsdump", "PROC_DUMP": "procdump", "SHADOW_MGMT": "vssadmin wbadmin", "BOOT_CONFIG": "bcdedit", "PERMISSION": "chmod chown icacls cacls takeown", "ATTRIB": "attrib",
-    "FILE_COPY": "copy xcopy robocopy cp", "FILE_MOVE": "move mv", "FILE_DELETE": "del rm erase", "FILE_READ": "type cat more", "ARCHIVE": "tar zip unzip gzip 7z compress-archive expand-archive",
-    "PROXY_EXEC": "rundll32 rundll32.exe regsvr32 regsvr32.exe mshta mshta.exe", "SCRIPT_HOST": "cscript wscript", "INSTALLER_EXEC": "msiexec msiexec.exe",
+    "curl": "TRANSFER", "wget": "TRANSFER", "certutil": "TRANSFER", "bitsadmin": "TRANSFER", "invoke-webrequest": "TRANSFER", "invoke-restmethod": "TRANSFER", "start-bitstransfer": "TRANSFER", "scp": "TRANSFER",
+    "sftp": "TRANSFER", "reg": "REGISTRY", "reg.exe": "REGISTRY", "set-itemproperty": "REGISTRY", "new-itemproperty": "REGISTRY", "remove-itemproperty": "REGISTRY", "get-itemproperty": "REGISTRY", "schtasks": "SCHED_TASK",
+    "schtasks.exe": "SCHED_TASK", "at": "SCHED_TASK", "at.exe": "SCHED_TASK", "crontab": "SCHED_TASK", "sc": "SERVICE", "sc.exe": "SERVICE", "systemctl": "SERVICE", "service": "SERVICE", "new-service": "SERVICE",
+    "set-service": "SERVICE", "powershell": "POWERSHELL", "powershell.exe": "POWERSHELL", "pwsh": "POWERSHELL", "pwsh.exe": "POWERSHELL", "cmd": "CMD_SHELL", "cmd.exe": "CMD_SHELL", "bash": "SHELL", "sh": "SHELL", "zsh": "SHELL",
+    "wmic": "WMI", "wmic.exe": "WMI", "net": "NET_CMD", "net.exe": "NET_CMD", "net1": "NET_CMD", "net1.exe": "NET_CMD", "dsquery": "NET_CMD", "whoami": "IDENTITY_QUERY", "id": "IDENTITY_QUERY", "ipconfig": "NET_QUERY",
+    "ifconfig": "NET_QUERY", "netstat": "NET_QUERY", "arp": "NET_QUERY", "nslookup": "NET_QUERY", "systeminfo": "SYS_QUERY", "hostname": "SYS_QUERY", "uname": "SYS_QUERY", "tasklist": "PROC_QUERY", "ps": "PROC_QUERY",
+    "get-process": "PROC_QUERY", "dir": "FILE_ENUM", "ls": "FILE_ENUM", "find": "FILE_ENUM", "get-childitem": "FILE_ENUM", "mimikatz": "CRED_TOOL", "secretsdump": "CRED_TOOL", "procdump": "PROC_DUMP", "vssadmin": "SHADOW_MGMT",
+    "wbadmin": "SHADOW_MGMT", "bcdedit": "BOOT_CONFIG", "chmod": "PERMISSION", "chown": "PERMISSION", "icacls": "PERMISSION", "cacls": "PERMISSION", "takeown": "PERMISSION", "attrib": "ATTRIB", "copy": "FILE_COPY",
+    "xcopy": "FILE_COPY", "robocopy": "FILE_COPY", "cp": "FILE_COPY", "move": "FILE_MOVE", "mv": "FILE_MOVE", "del": "FILE_DELETE", "rm": "FILE_DELETE", "erase": "FILE_DELETE", "type": "FILE_READ", "cat": "FILE_READ",
+    "more": "FILE_READ", "tar": "ARCHIVE", "zip": "ARCHIVE", "unzip": "ARCHIVE", "gzip": "ARCHIVE", "7z": "ARCHIVE", "compress-archive": "ARCHIVE", "expand-archive": "ARCHIVE", "rundll32": "PROXY_EXEC",
+    "rundll32.exe": "PROXY_EXEC", "regsvr32": "PROXY_EXEC", "regsvr32.exe": "PROXY_EXEC", "mshta": "PROXY_EXEC", "mshta.exe": "PROXY_EXEC", "cscript": "SCRIPT_HOST", "wscript": "SCRIPT_HOST", "msiexec": "INSTALLER_EXEC",
+    "msiexec.exe": "INSTALLER_EXEC",
 }
 VERB_TOKENS = {
     "reg add": "WRITE", "reg delete": "DELETE", "reg query": "QUERY", "reg export": "EXPORT", "reg import": "IMPORT", "reg save": "EXPORT", "reg load": "IMPORT", "reg copy": "COPY",
@@ -143,11 +148,10 @@ def masked(text: Column) -> Column:
 def residual_tokens() -> Column:
     """What a command does, as tokens: tool, verb, registry places, targets, kinds of files, structure, interpreters."""
     exe, sub = F.col("executable"), F.coalesce("subcommand", F.lit(""))
-    tools = {tool: token for token, names in TOOL_TOKENS.items() for tool in names.split(" ")}
     some = lambda name, token: F.when(F.size(name) > 0, token)
     suffix = lambda p: looked_up(SUFFIX_TOKENS, F.regexp_extract(F.lower(p), r"(\.[a-z0-9]+)$", 1))
     return F.array_compact(F.concat(
-        F.array(looked_up(tools, exe), F.coalesce(looked_up(VERB_TOKENS, F.concat_ws(" ", exe, sub)), F.when(~sub.isin("", "exe"), F.upper(sub)))),
+        F.array(looked_up(TOOL_TOKENS, exe), F.coalesce(looked_up(VERB_TOKENS, F.concat_ws(" ", exe, sub)), F.when(~sub.isin("", "exe"), F.upper(sub)))),
         F.transform("registry_paths", lambda p: F.concat(F.lit("REG_"), registry_bucket(p))),
         F.array(F.when((F.size("remote_targets") > 0) | (F.size("urls") > 0), "REMOTE_TARGET"), some("ips", "IP_TARGET"), some("domains", "DOMAIN_TARGET")),
         F.array_distinct(F.transform("file_paths", suffix)),

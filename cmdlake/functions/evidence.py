@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from cmdlake.functions.parsing import all_of, valid_ips
 
 # Fixed values.
-FLAGS = (
-    "-enc -encodedcommand -e -c /c -nop -noni -noninteractive -windowstyle -w -exec -executionpolicy -ep -bypass -command /create /sc /tr /tn /f /d /t /v /s /add /delete -split -f -o --output -urlcache "
-    "-decode -encode -decodefile -p --post-file -b64 --allow-overwrite --on-download-complete -perm +4000 +2000 -rf --flush /set /get /query /export /import"
-).split(" ")
+FLAGS = [
+    "-enc", "-encodedcommand", "-e", "-c", "/c", "-nop", "-noni", "-noninteractive", "-windowstyle", "-w", "-exec", "-executionpolicy", "-ep", "-bypass", "-command", "/create", "/sc", "/tr", "/tn", "/f", "/d", "/t", "/v", "/s",
+    "/add", "/delete", "-split", "-f", "-o", "--output", "-urlcache", "-decode", "-encode", "-decodefile", "-p", "--post-file", "-b64", "--allow-overwrite", "--on-download-complete", "-perm", "+4000", "+2000", "-rf", "--flush",
+    "/set", "/get", "/query", "/export", "/import",
+]
 IPV6 = r"(?<![\w:])\[?[0-9A-Fa-f:]{3,}\]?(?![\w:])"
 HASH, DEFANGED, URL = r"(?<![A-Fa-f0-9])(?:[A-Fa-f0-9]{64}|[A-Fa-f0-9]{40}|[A-Fa-f0-9]{32})(?![A-Fa-f0-9])", r"(?i)\bhxxps?://[^\s\x22\x27<>|]+", r"(?i)\b(?:https?|ftp)://[^\s\x22\x27<>|]+"
 SECTIONS = ("urls", "domains", "ips", "ipv6", "ports", "file_paths", "registry_paths", "hashes", "defanged_urls")

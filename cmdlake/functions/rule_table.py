@@ -26,22 +26,30 @@ ELEVATION = "privilege_escalation:abuse_elevation_control"
 DESTRUCTION, LOCAL_DATA = "impact:data_destruction", "collection:data_from_local_system"
 
 # Tool lists.
-INTERPRETERS = "powershell powershell.exe pwsh pwsh.exe cmd cmd.exe command.com bash sh zsh ksh csh tcsh dash fish python python3 python2 python.exe ruby perl lua node php osascript wscript cscript mshta mshta.exe"
-BUILTINS = "echo printf write-host write-output write-error write-verbose write-debug write-information invoke-expression iex invoke-command icm invoke-webrequest iwr invoke-restmethod irm start-process new-object set-variable if for while foreach switch try set export eval exec source alias"
-PERMISSION_TOOLS = "chmod chown chgrp icacls cacls takeown setfacl chattr"
+INTERPRETERS = (
+    "powershell", "powershell.exe", "pwsh", "pwsh.exe", "cmd", "cmd.exe", "command.com", "bash", "sh", "zsh", "ksh", "csh", "tcsh", "dash", "fish", "python", "python3", "python2", "python.exe", "ruby", "perl", "lua",
+    "node", "php", "osascript", "wscript", "cscript", "mshta", "mshta.exe",
+)
+BUILTINS = (
+    "echo", "printf", "write-host", "write-output", "write-error", "write-verbose", "write-debug", "write-information", "invoke-expression", "iex", "invoke-command", "icm", "invoke-webrequest", "iwr",
+    "invoke-restmethod", "irm", "start-process", "new-object", "set-variable", "if", "for", "while", "foreach", "switch", "try", "set", "export", "eval", "exec", "source", "alias",
+)
+PERMISSION_TOOLS = ("chmod", "chown", "chgrp", "icacls", "cacls", "takeown", "setfacl", "chattr")
 PROXY_TOOLS = (
-    "rundll32 rundll32.exe regsvr32 regsvr32.exe msiexec msiexec.exe certutil cmstp cmstp.exe installutil installutil.exe msbuild msbuild.exe xwizard xwizard.exe odbcconf odbcconf.exe forfiles forfiles.exe "
-    "mavinject mavinject.exe ieexec infdefaultinstall control control.exe hh hh.exe pcalua pcalua.exe presentationhost presentationhost.exe syncappvpublishingserver syncappvpublishingserver.exe bitsadmin bitsadmin.exe"
-)
-FILE_TOOLS = "dir ls find get-childitem gci tree locate fd where where.exe test-path"
-SYSTEM_TOOLS = "systeminfo systeminfo.exe uname ver hostname dmidecode lscpu lsb_release sw_vers lshw lspci lsusb lsmod get-computerinfo get-wmiobject"
-PROCESS_TOOLS = "ps tasklist tasklist.exe get-process top htop pgrep"
-CREDENTIAL_TOOLS = "mimikatz lazagne secretsdump pypykatz procdump procdump.exe gsecdump pwdump hashdump fgdump wce"
-ELEVATION_TOOLS = "sudo su doas runas pkexec pfexec gksudo kdesudo"
-READERS = "cat type more less head tail get-content gc strings xxd hexdump od"
-ACCOUNT_TOOLS = "useradd groupadd adduser addgroup usermod groupmod dsadd dsmod dscl new-aduser add-adgroupmember new-localuser"
+    "rundll32", "rundll32.exe", "regsvr32", "regsvr32.exe", "msiexec", "msiexec.exe", "certutil", "cmstp", "cmstp.exe", "installutil", "installutil.exe", "msbuild", "msbuild.exe", "xwizard", "xwizard.exe", "odbcconf",
+    "odbcconf.exe", "forfiles", "forfiles.exe", "mavinject", "mavinject.exe", "ieexec", "infdefaultinstall", "control", "control.exe", "hh", "hh.exe", "pcalua", "pcalua.exe", "presentationhost", "presentationhost.exe",
+    "syncappvpublishingserver", "syncappvpublishingserver.exe", "bitsadmin", "bitsadmin.exe",
+)
+FILE_TOOLS = ("dir", "ls", "find", "get-childitem", "gci", "tree", "locate", "fd", "where", "where.exe", "test-path")
+SYSTEM_TOOLS = ("systeminfo", "systeminfo.exe", "uname", "ver", "hostname", "dmidecode", "lscpu", "lsb_release", "sw_vers", "lshw", "lspci", "lsusb", "lsmod", "get-computerinfo", "get-wmiobject")
+PROCESS_TOOLS = ("ps", "tasklist", "tasklist.exe", "get-process", "top", "htop", "pgrep")
+CREDENTIAL_TOOLS = ("mimikatz", "lazagne", "secretsdump", "pypykatz", "procdump", "procdump.exe", "gsecdump", "pwdump", "hashdump", "fgdump", "wce")
+ELEVATION_TOOLS = ("sudo", "su", "doas", "runas", "pkexec", "pfexec", "gksudo", "kdesudo")
+READERS = ("cat", "type", "more", "less", "head", "tail", "get-content", "gc", "strings", "xxd", "hexdump", "od")
+ACCOUNT_TOOLS = ("useradd", "groupadd", "adduser", "addgroup", "usermod", "groupmod", "dsadd", "dsmod", "dscl", "new-aduser", "add-adgroupmember", "new-localuser")
 LOLBIN_CANDIDATES = ("certutil", "mshta", "rundll32", "regsvr32", "wmic", "bitsadmin", "powershell", "powershell.exe", "cmd", "cmd.exe", "wscript", "cscript", "bash", "sh", "curl", "wget")
-REGISTRY_QUERY, REGISTRY_WRITE = "get-itemproperty get-item get-childitem", "set-itemproperty new-itemproperty remove-itemproperty set-item new-item remove-item"
+REGISTRY_QUERY = ("get-itemproperty", "get-item", "get-childitem")
+REGISTRY_WRITE = ("set-itemproperty", "new-itemproperty", "remove-itemproperty", "set-item", "new-item", "remove-item")
 SECURITY_SERVICES = ["windefend", "msmpsvc", "sense", "wuauserv", "wscsvc", "securityhealthservice", "mpssvc"]
 CMDLETS = {
     "copy-item": LOCAL_DATA, "move-item": LOCAL_DATA, "get-content": LOCAL_DATA, "new-item": SCRIPTING, "remove-item": REMOVAL, "get-childitem": FILES, "start-process": SCRIPTING, "stop-process": IMPAIR,
@@ -58,8 +66,8 @@ def q(text: str) -> str:
     return "(" + " || chr(92) || ".join("'" + x.replace("'", "' || chr(39) || '") + "'" for x in text.split("\\")) + ")"
 
 
-def one_of(column: str, names: str | list[str]) -> str:
-    return f"{column} IN ({', '.join(map(q, names.split(' ') if isinstance(names, str) else names))})"
+def one_of(column: str, names: tuple[str, ...] | list[str]) -> str:
+    return f"{column} IN ({', '.join(map(q, names))})"
 
 
 def has(*parts: str, column: str = "norm") -> str:
@@ -94,15 +102,15 @@ def tool(name: str, note: str) -> str:
 
 
 WRITES, DOWNLOADS = "writes_executable_like_file", "downloads_remote_resource"
-_IS_QUERY0 = f"(({one_of('exe', 'reg reg.exe')} AND {one_of('sub', 'query export save')}) OR {one_of('exe', REGISTRY_QUERY)})"
-_IS_WRITE0 = f"(({one_of('exe', 'reg reg.exe')} AND {one_of('sub', 'add delete import copy load unload')}) OR {one_of('exe', REGISTRY_WRITE)})"
+_IS_QUERY0 = f"(({one_of('exe', ('reg', 'reg.exe'))} AND {one_of('sub', ('query', 'export', 'save'))}) OR {one_of('exe', REGISTRY_QUERY)})"
+_IS_WRITE0 = f"(({one_of('exe', ('reg', 'reg.exe'))} AND {one_of('sub', ('add', 'delete', 'import', 'copy', 'load', 'unload'))}) OR {one_of('exe', REGISTRY_WRITE)})"
 _TEXT_QUERY = has(" reg query ", "get-itemproperty", "get-childitem", " reg export ", " reg save ")
 _TEXT_WRITE = has(" reg add ", " reg delete ", "set-itemproperty", "new-itemproperty", "remove-itemproperty", "new-item ", "set-item ", "remove-item ")
 _NONE0 = f"NOT {_IS_QUERY0} AND NOT {_IS_WRITE0}"
-_REG = f"(NOT modifies_registry_autorun AND (n_regs > 0 OR {has('hklm:', 'hkcu:', 'hkcr:', 'hku:', 'registry::')} OR {one_of('exe', 'reg reg.exe ' + REGISTRY_QUERY + ' ' + REGISTRY_WRITE)}))"
+_REG = f"(NOT modifies_registry_autorun AND (n_regs > 0 OR {has('hklm:', 'hkcu:', 'hkcr:', 'hku:', 'registry::')} OR {one_of('exe', ('reg', 'reg.exe', *REGISTRY_QUERY, *REGISTRY_WRITE))}))"
 REG_QUERY = f"({_REG} AND ({_IS_QUERY0} OR ({_NONE0} AND {_TEXT_QUERY})))"
 REG_WRITE = f"({_REG} AND ({_IS_WRITE0} OR ({_NONE0} AND NOT {_TEXT_QUERY} AND {_TEXT_WRITE})))"
-SYSTEM_INFO = f"({one_of('exe', SYSTEM_TOOLS)} OR ({one_of('exe', 'cat type get-content')} AND {has('/etc/os-release', '/proc/version', '/proc/cpuinfo', '/etc/hostname', '/etc/machine-id')}))"
+SYSTEM_INFO = f"({one_of('exe', SYSTEM_TOOLS)} OR ({one_of('exe', ('cat', 'type', 'get-content'))} AND {has('/etc/os-release', '/proc/version', '/proc/cpuinfo', '/etc/hostname', '/etc/machine-id')}))"
 PROCESS_INFO = f"({one_of('exe', PROCESS_TOOLS)} OR (exe = 'wmic' AND sub = 'process' AND NOT {has('call', 'create')}))"
 _CHAINED = f"(has_pipe OR {has('/c ', '-c ', '&&', '; ')})"
 _inside = lambda *tools: "(" + " OR ".join(f"(contains(norm, {q(t)}) AND exe <> {q(t.strip())})" for t in tools) + ")"
@@ -110,26 +118,26 @@ _NET_IN, _ID_IN, _SYS_IN, _PROC_IN, _REG_IN = (
     _inside("ipconfig", "ifconfig", "netstat", "route ", "arp ", "nslookup", "dig "), _inside("whoami", "net user"), _inside("systeminfo", "uname ", "hostname"), _inside("tasklist", "get-process", "wmic process"), _inside(" reg ", "regedit"),
 )
 _IMPAIRS = " OR ".join([
-    one_of("exe", "set-mppreference disable-windowsoptionalfeature remove-mppreference add-mppreference"), f"({one_of('exe', 'stop-service disable-service')} AND {has(*SECURITY_SERVICES)})",
-    f"(exe = 'net' AND sub = 'stop' AND {has(*SECURITY_SERVICES)})", f"(exe = 'netsh' AND {has('firewall')})", f"(exe = 'ufw' AND {one_of('sub', 'disable delete reset')})",
-    f"(exe = 'iptables' AND {member('flags_s', '-f', '--flush', '-x', '-d')})", f"(exe = 'setenforce' AND {member('args_s', '0')})", one_of("exe", "aa-disable aa-teardown"),
-    f"(exe = 'systemctl' AND {one_of('sub', 'disable stop')} AND {has('apparmor', 'firewalld', 'ufw', 'selinux')})", f"(exe = 'auditpol' AND {has('set')})", f"(exe = 'wevtutil' AND {one_of('sub', 'cl clear-log')})",
+    one_of("exe", ("set-mppreference", "disable-windowsoptionalfeature", "remove-mppreference", "add-mppreference")), f"({one_of('exe', ('stop-service', 'disable-service'))} AND {has(*SECURITY_SERVICES)})",
+    f"(exe = 'net' AND sub = 'stop' AND {has(*SECURITY_SERVICES)})", f"(exe = 'netsh' AND {has('firewall')})", f"(exe = 'ufw' AND {one_of('sub', ('disable', 'delete', 'reset'))})",
+    f"(exe = 'iptables' AND {member('flags_s', '-f', '--flush', '-x', '-d')})", f"(exe = 'setenforce' AND {member('args_s', '0')})", one_of("exe", ("aa-disable", "aa-teardown")),
+    f"(exe = 'systemctl' AND {one_of('sub', ('disable', 'stop'))} AND {has('apparmor', 'firewalld', 'ufw', 'selinux')})", f"(exe = 'auditpol' AND {has('set')})", f"(exe = 'wevtutil' AND {one_of('sub', ('cl', 'clear-log'))})",
 ])
 _LOGS = ["/var/log/", "\\logs\\", ".log", "auth.log", "syslog", "security.evtx", "system.evtx", "application.evtx", "wtmp", "btmp", "lastlog", "utmp"]
 _REMOVES = " OR ".join([
-    f"(exe = 'touch' AND {member('flags_s', '-t', '-d', '-r')})", f"({one_of('exe', 'rm del erase remove-item shred truncate')} AND ({has(*_LOGS, column='paths_s')} OR {has(*_LOGS)} OR {has('.evtx', '.evt', column='paths_s')}))",
-    f"({one_of('exe', 'clear-eventlog wevtutil')} AND ({one_of('sub', 'cl clear-log')} OR {has('clear')}))", has("histfile", "bash_history", ".zsh_history", "history -c"),
+    f"(exe = 'touch' AND {member('flags_s', '-t', '-d', '-r')})", f"({one_of('exe', ('rm', 'del', 'erase', 'remove-item', 'shred', 'truncate'))} AND ({has(*_LOGS, column='paths_s')} OR {has(*_LOGS)} OR {has('.evtx', '.evt', column='paths_s')}))",
+    f"({one_of('exe', ('clear-eventlog', 'wevtutil'))} AND ({one_of('sub', ('cl', 'clear-log'))} OR {has('clear')}))", has("histfile", "bash_history", ".zsh_history", "history -c"),
 ])
 _HIDES = " OR ".join([
-    f"({one_of('exe', 'attrib attrib.exe')} AND {has('+h')})", f"({one_of('exe', 'mkdir touch cp mv copy')} AND {has('/.', chr(92) + '.')})", has(".txt:", ".exe:", ".dll:"), f"({has('hidden')} AND {one_of('exe', 'set-itemproperty attrib chflags')})",
+    f"({one_of('exe', ('attrib', 'attrib.exe'))} AND {has('+h')})", f"({one_of('exe', ('mkdir', 'touch', 'cp', 'mv', 'copy'))} AND {has('/.', chr(92) + '.')})", has(".txt:", ".exe:", ".dll:"), f"({has('hidden')} AND {one_of('exe', ('set-itemproperty', 'attrib', 'chflags'))})",
 ])
 _AUTOSTART = has(".bashrc", ".bash_profile", ".profile", ".zshrc", ".cshrc", "/etc/profile", "/etc/profile.d/", "profile.d/", "/etc/rc.local", "rc.local", "/etc/init.d/", "init.d/", "start menu\\programs\\startup", "start menu/programs/startup", "\\appdata\\roaming\\microsoft\\windows\\start menu", "xdg/autostart")
 _EVENTS = " OR ".join([
-    one_of("exe", "trap atbroker atbroker.exe"), f"({has('udev')} AND {has('rules.d', 'rule')})", has("narrator.exe", "osk.exe", "magnify.exe", "sethc.exe", "utilman.exe", "displayswitch.exe"), has("eventfilter", "eventconsumer", "__event"),
+    one_of("exe", ("trap", "atbroker", "atbroker.exe")), f"({has('udev')} AND {has('rules.d', 'rule')})", has("narrator.exe", "osk.exe", "magnify.exe", "sethc.exe", "utilman.exe", "displayswitch.exe"), has("eventfilter", "eventconsumer", "__event"),
     f"({has('autostart')} AND {has('.desktop')})",
 ])
-_HIJACKS = f"{has('ld_preload', 'ld_library_path', 'dyld_insert', 'dyld_framework', 'dyld_library', 'dll hijack', 'dllmain', 'sideload', 'search order')} OR ({one_of('exe', 'export set setx setx.exe')} AND {has('path')})"
-_DESTROYS = f"{one_of('exe', 'shred wipefs srm sdelete sdelete.exe')} OR (exe = 'dd' AND {has('if=/dev/zero', 'if=/dev/null', 'if=/dev/urandom')}) OR (exe = 'diskpart' AND {has('clean')}) OR (exe = 'rm' AND {has('-rf', column='flags_s')})"
+_HIJACKS = f"{has('ld_preload', 'ld_library_path', 'dyld_insert', 'dyld_framework', 'dyld_library', 'dll hijack', 'dllmain', 'sideload', 'search order')} OR ({one_of('exe', ('export', 'set', 'setx', 'setx.exe'))} AND {has('path')})"
+_DESTROYS = f"{one_of('exe', ('shred', 'wipefs', 'srm', 'sdelete', 'sdelete.exe'))} OR (exe = 'dd' AND {has('if=/dev/zero', 'if=/dev/null', 'if=/dev/urandom')}) OR (exe = 'diskpart' AND {has('clean')}) OR (exe = 'rm' AND {has('-rf', column='flags_s')})"
 _API = ["virtualalloc", "virtualprotect", "createremotethread", "ntcreatethreadex", "writeprocessmemory", "readprocessmemory", "openprocess", "createprocess", "shellexecute", "winexec", "loadlibrary", "getprocaddress", "dllimport", "p/invoke", "add-type", "interopservices", "reflection.assembly", "reflection.emit", "kernel32", "ntdll", "advapi32"]
 _ELEVATES = f"{one_of('exe', ELEVATION_TOOLS)} OR (exe = 'find' AND {has('-perm')} AND {has('+4000', '+2000', '/4000', '/2000', '-4000', '-2000', 'u+s', 'g+s')}) OR (exe = 'start-process' AND {has('runas')})"
 _KEYWORDS = [
@@ -155,7 +163,7 @@ RULES = [
     Rule("shadow_copy_deletion", True, "deletes_shadow_copies", [(RECOVERY, 0.90, "true", True)], [("'shadow_deletion: ' || exe || ' used to delete shadow copies (inhibit recovery)'", "true")], (INGRESS, RUN_KEY, TASK)),
     Rule("service_creation", True, "creates_or_modifies_service", [(SERVICE, 0.80, "true", True), (SERVICE, 0.10, WRITES, True)],
          [("'service_creation: ' || exe || ' ' || sub || ' — creates/modifies a system service'", "true"), ("'service_creation: service binPath points to executable-like file'", WRITES)]),
-    Rule("remote_session", False, f"({one_of('exe', 'ssh scp sftp rsync')} AND (remote_execution_or_session OR transfers_file_to_remote))", [(REMOTE, 0.55, "true", True), (EXFILTRATION, 0.40, f"transfers_file_to_remote AND {WRITES}", True)],
+    Rule("remote_session", False, f"({one_of('exe', ('ssh', 'scp', 'sftp', 'rsync'))} AND (remote_execution_or_session OR transfers_file_to_remote))", [(REMOTE, 0.55, "true", True), (EXFILTRATION, 0.40, f"transfers_file_to_remote AND {WRITES}", True)],
          [("'remote_session: ' || exe || ' session/transfer to ' || first_remote", "true"), ("'remote_session: executable-like file transferred to remote host'", f"transfers_file_to_remote AND {WRITES}")]),
     Rule("discovery", False, "(enumerates_identity OR enumerates_network_config)", [(ACCOUNTS, 0.45, "enumerates_identity", True), (NETWORK, 0.45, "enumerates_network_config", True)],
          [(tool("discovery", "identity/account enumeration"), "enumerates_identity"), (tool("discovery", "network configuration discovery"), "enumerates_network_config")]),
@@ -173,23 +181,23 @@ RULES = [
     simple("process_discovery", False, PROCESS_INFO, PROCESSES, 0.40, tool("process_discovery", "process enumeration")),
     simple("credential_access_broad", True, f"(reads_credential_store OR {one_of('exe', CREDENTIAL_TOOLS)})", CREDENTIALS, 0.55, tool("credential_access", "credential store access/dumping")),
     simple("privilege_escalation", False, f"({_ELEVATES})", ELEVATION, 0.40, tool("privilege_escalation", "elevation control abuse")),
-    Rule("lolbin_proxy_broad", False, f"({one_of('exe', PROXY_TOOLS)} OR n_lolbins > 0)", [(PROXY, 0.35, "true", True), (INGRESS, 0.25, one_of("exe", "certutil bitsadmin bitsadmin.exe"), True)], [(tool("lolbin_proxy", "signed binary proxy / LOLBin execution"), "true")]),
+    Rule("lolbin_proxy_broad", False, f"({one_of('exe', PROXY_TOOLS)} OR n_lolbins > 0)", [(PROXY, 0.35, "true", True), (INGRESS, 0.25, one_of("exe", ("certutil", "bitsadmin", "bitsadmin.exe")), True)], [(tool("lolbin_proxy", "signed binary proxy / LOLBin execution"), "true")]),
     simple("event_triggered", False, f"({_EVENTS})", EVENT, 0.40, tool("event_triggered", "event-triggered execution")),
-    simple("boot_logon_broad", False, f"(({_AUTOSTART} AND NOT {one_of('exe', 'echo printf cat type write-host write-output write-error write-verbose')}) OR (exe = 'systemctl' AND sub = 'enable'))", BOOT, 0.35, "'boot_logon: autostart/login script path detected'"),
+    simple("boot_logon_broad", False, f"(({_AUTOSTART} AND NOT {one_of('exe', ('echo', 'printf', 'cat', 'type', 'write-host', 'write-output', 'write-error', 'write-verbose'))}) OR (exe = 'systemctl' AND sub = 'enable'))", BOOT, 0.35, "'boot_logon: autostart/login script path detected'"),
     simple("hijack_execution", False, f"({_HIJACKS})", HIJACK, 0.35, "'hijack_execution: execution flow hijacking pattern'"),
-    simple("data_from_local", False, f"({one_of('exe', READERS)} AND (n_paths > 0 OR {one_of('exe', 'strings xxd hexdump od')}))", LOCAL_DATA, 0.25, tool("data_from_local", "reading local file data")),
+    simple("data_from_local", False, f"({one_of('exe', READERS)} AND (n_paths > 0 OR {one_of('exe', ('strings', 'xxd', 'hexdump', 'od'))}))", LOCAL_DATA, 0.25, tool("data_from_local", "reading local file data")),
     simple("data_destruction", True, f"({_DESTROYS})", DESTRUCTION, 0.35, tool("data_destruction", "destructive operation")),
-    simple("account_management", True, f"({one_of('exe', ACCOUNT_TOOLS)} OR (exe = 'net' AND {one_of('sub', 'user localgroup group')} AND ({has('/add')} OR {member('args_s', 'add')})))", ACCOUNT_MGMT, 0.45, tool("account_mgmt", "account/group manipulation")),
-    simple("masquerading_heuristic", False, f"({one_of('exe', 'copy cp move mv copy-item move-item xcopy robocopy ren rename rename-item')} AND {has(chr(92) + 'windows' + chr(92) + 'system32', chr(92) + 'windows' + chr(92) + 'syswow64', chr(92) + 'system32' + chr(92), chr(92) + 'syswow64' + chr(92), '/usr/bin/', '/usr/sbin/', '/usr/local/bin/')})", MASQUERADE, 0.30, tool("masquerading", "file placed in/moved to system path")),
+    simple("account_management", True, f"({one_of('exe', ACCOUNT_TOOLS)} OR (exe = 'net' AND {one_of('sub', ('user', 'localgroup', 'group'))} AND ({has('/add')} OR {member('args_s', 'add')})))", ACCOUNT_MGMT, 0.45, tool("account_mgmt", "account/group manipulation")),
+    simple("masquerading_heuristic", False, f"({one_of('exe', ('copy', 'cp', 'move', 'mv', 'copy-item', 'move-item', 'xcopy', 'robocopy', 'ren', 'rename', 'rename-item'))} AND {has(chr(92) + 'windows' + chr(92) + 'system32', chr(92) + 'windows' + chr(92) + 'syswow64', chr(92) + 'system32' + chr(92), chr(92) + 'syswow64' + chr(92), '/usr/bin/', '/usr/sbin/', '/usr/local/bin/')})", MASQUERADE, 0.30, tool("masquerading", "file placed in/moved to system path")),
     simple("native_api_heuristic", False, has(*_API), NATIVE, 0.30, "'native_api: API call / P/Invoke pattern detected'"),
     Rule("command_content_scan", False, f"({_CHAINED} AND ({_NET_IN} OR {_ID_IN} OR {_SYS_IN} OR {_PROC_IN} OR {_REG_IN}))",
          [(NETWORK, 0.25, _NET_IN, True), (ACCOUNTS, 0.25, _ID_IN, True), (SYSTEM, 0.25, _SYS_IN, True), (PROCESSES, 0.25, _PROC_IN, True), (REGISTRY, 0.20, _REG_IN, True)],
          [("'content_scan: chained command contains a network tool'", _NET_IN)], (),
          f"({_CHAINED} AND ({_NET_IN} OR ({_ID_IN} AND NOT enumerates_identity) OR ({_SYS_IN} AND NOT {SYSTEM_INFO}) OR ({_PROC_IN} AND NOT {PROCESS_INFO}) OR ({_REG_IN} AND NOT {REG_WRITE})))"),
     Rule("powershell_cmdlets", False, one_of("exe", list(CMDLETS)), [(c, 0.25, f"exe = '{n}'", True) for n, c in CMDLETS.items()], [(f"'ps_cmdlet: ' || exe || ' → {c}'", f"exe = '{n}'") for n, c in CMDLETS.items()]),
-    Rule("file_operations", False, one_of("exe", "copy cp xcopy robocopy move mv ren rename rm del erase shred unlink mkdir md"),
-         [(LOCAL_DATA, 0.20, one_of("exe", "copy cp xcopy robocopy move mv ren rename"), True), (REMOVAL, 0.20, one_of("exe", "rm del erase shred unlink"), True), (SCRIPTING, 0.15, one_of("exe", "mkdir md"), True)],
-         [(tool("file_op", "file copy/move operation"), one_of("exe", "copy cp xcopy robocopy move mv ren rename")), (tool("file_op", "file deletion"), one_of("exe", "rm del erase shred unlink")), (tool("file_op", "directory creation"), one_of("exe", "mkdir md"))]),
+    Rule("file_operations", False, one_of("exe", ("copy", "cp", "xcopy", "robocopy", "move", "mv", "ren", "rename", "rm", "del", "erase", "shred", "unlink", "mkdir", "md")),
+         [(LOCAL_DATA, 0.20, one_of("exe", ("copy", "cp", "xcopy", "robocopy", "move", "mv", "ren", "rename")), True), (REMOVAL, 0.20, one_of("exe", ("rm", "del", "erase", "shred", "unlink")), True), (SCRIPTING, 0.15, one_of("exe", ("mkdir", "md")), True)],
+         [(tool("file_op", "file copy/move operation"), one_of("exe", ("copy", "cp", "xcopy", "robocopy", "move", "mv", "ren", "rename"))), (tool("file_op", "file deletion"), one_of("exe", ("rm", "del", "erase", "shred", "unlink"))), (tool("file_op", "directory creation"), one_of("exe", ("mkdir", "md")))]),
     Rule("net_command", False, "exe = 'net'", [*[(c, 0.35, f"sub = '{n}'", True) for n, c in NET_VERBS.items()], (SCRIPTING, 0.15, f"NOT {one_of('sub', list(NET_VERBS))}", True)],
          [*[(f"'net_command: net {n} → {c}'", f"sub = '{n}'") for n, c in NET_VERBS.items()], ("'net_command: net ' || sub || ' — generic'", f"NOT {one_of('sub', list(NET_VERBS))}")]),
     simple("scripting_builtins", False, one_of("exe", BUILTINS), SCRIPTING, 0.15, tool("scripting_builtin", "shell/script builtin")),

@@ -10,43 +10,45 @@ from pyspark.sql import functions as F
 
 # Fixed values.
 TECHNIQUES = {
-    "persistence:registry_run_key": "T1547", "persistence:scheduled_task": "T1053", "persistence:create_modify_system_process": "T1543", "persistence:event_triggered_execution": "T1546",
-    "persistence:boot_logon_autostart_execution": "T1547 T1037", "persistence:hijack_execution_flow": "T1574", "persistence:account_manipulation": "T1098 T1136", "execution:command_and_scripting_interpreter": "T1059",
-    "execution:windows_management_instrumentation": "T1047", "execution:native_api": "T1106", "defense_evasion:signed_binary_proxy_execution": "T1218", "defense_evasion:obfuscated_files_or_information": "T1027",
-    "defense_evasion:deobfuscate_decode_files": "T1140", "defense_evasion:modify_registry": "T1112", "defense_evasion:impair_defenses": "T1562", "defense_evasion:file_permissions_modification": "T1222",
-    "defense_evasion:indicator_removal": "T1070", "defense_evasion:hide_artifacts": "T1564", "defense_evasion:masquerading": "T1036", "command_and_control:ingress_tool_transfer": "T1105",
-    "collection:archive_collected_data": "T1560", "collection:data_from_local_system": "T1005", "exfiltration:exfiltration_over_c2_channel": "T1048", "credential_access:os_credential_dumping": "T1003 T1555",
-    "privilege_escalation:abuse_elevation_control": "T1548", "impact:inhibit_system_recovery": "T1490", "impact:data_destruction": "T1485", "discovery:account_discovery": "T1087", "discovery:query_registry": "T1012",
-    "discovery:system_network_configuration_discovery": "T1016", "discovery:remote_system_discovery": "T1018", "discovery:file_and_directory_discovery": "T1083", "discovery:system_information_discovery": "T1082",
-    "discovery:process_discovery": "T1057", "lateral_movement:remote_services": "T1021",
+    "persistence:registry_run_key": ("T1547",), "persistence:scheduled_task": ("T1053",), "persistence:create_modify_system_process": ("T1543",), "persistence:event_triggered_execution": ("T1546",),
+    "persistence:boot_logon_autostart_execution": ("T1547", "T1037"), "persistence:hijack_execution_flow": ("T1574",), "persistence:account_manipulation": ("T1098", "T1136"),
+    "execution:command_and_scripting_interpreter": ("T1059",), "execution:windows_management_instrumentation": ("T1047",), "execution:native_api": ("T1106",), "defense_evasion:signed_binary_proxy_execution": ("T1218",),
+    "defense_evasion:obfuscated_files_or_information": ("T1027",), "defense_evasion:deobfuscate_decode_files": ("T1140",), "defense_evasion:modify_registry": ("T1112",), "defense_evasion:impair_defenses": ("T1562",),
+    "defense_evasion:file_permissions_modification": ("T1222",), "defense_evasion:indicator_removal": ("T1070",), "defense_evasion:hide_artifacts": ("T1564",), "defense_evasion:masquerading": ("T1036",),
+    "command_and_control:ingress_tool_transfer": ("T1105",), "collection:archive_collected_data": ("T1560",), "collection:data_from_local_system": ("T1005",), "exfiltration:exfiltration_over_c2_channel": ("T1048",),
+    "credential_access:os_credential_dumping": ("T1003", "T1555"), "privilege_escalation:abuse_elevation_control": ("T1548",), "impact:inhibit_system_recovery": ("T1490",), "impact:data_destruction": ("T1485",),
+    "discovery:account_discovery": ("T1087",), "discovery:query_registry": ("T1012",), "discovery:system_network_configuration_discovery": ("T1016",), "discovery:remote_system_discovery": ("T1018",),
+    "discovery:file_and_directory_discovery": ("T1083",), "discovery:system_information_discovery": ("T1082",), "discovery:process_discovery": ("T1057",), "lateral_movement:remote_services": ("T1021",),
 }
 NEIGHBOURS = {
-    "T1547": "T1546 T1037 T1543", "T1053": "T1546 T1082", "T1543": "T1569 T1547", "T1059": "T1202 T1106 T1562 T1546 T1005", "T1047": "T1059", "T1218": "T1216 T1127 T1105", "T1027": "T1140 T1564", "T1140": "T1027",
-    "T1105": "T1071 T1218", "T1560": "T1074", "T1048": "T1567", "T1490": "T1485 T1486 T1489", "T1087": "T1033 T1069 T1078", "T1016": "T1049 T1082", "T1018": "T1046", "T1112": "T1547 T1562 T1012",
-    "T1562": "T1112 T1070 T1548 T1222", "T1222": "T1548", "T1070": "T1485 T1562", "T1564": "T1027 T1036 T1574", "T1036": "T1574 T1564", "T1106": "T1059 T1055", "T1083": "T1082 T1057", "T1082": "T1083 T1057 T1518",
-    "T1057": "T1082 T1083", "T1003": "T1555 T1552", "T1555": "T1003 T1552", "T1552": "T1003 T1555", "T1546": "T1547 T1053 T1543", "T1574": "T1036 T1547 T1564", "T1098": "T1136 T1078", "T1136": "T1098", "T1548": "T1222 T1134",
-    "T1485": "T1070 T1490", "T1005": "T1074 T1560", "T1037": "T1547 T1546", "T1055": "T1106 T1134", "T1134": "T1055 T1548", "T1518": "T1082 T1057", "T1078": "T1098 T1087", "T1012": "T1112 T1082",
+    "T1547": ("T1546", "T1037", "T1543"), "T1053": ("T1546", "T1082"), "T1543": ("T1569", "T1547"), "T1059": ("T1202", "T1106", "T1562", "T1546", "T1005"), "T1047": ("T1059",), "T1218": ("T1216", "T1127", "T1105"),
+    "T1027": ("T1140", "T1564"), "T1140": ("T1027",), "T1105": ("T1071", "T1218"), "T1560": ("T1074",), "T1048": ("T1567",), "T1490": ("T1485", "T1486", "T1489"), "T1087": ("T1033", "T1069", "T1078"), "T1016": ("T1049", "T1082"),
+    "T1018": ("T1046",), "T1112": ("T1547", "T1562", "T1012"), "T1562": ("T1112", "T1070", "T1548", "T1222"), "T1222": ("T1548",), "T1070": ("T1485", "T1562"), "T1564": ("T1027", "T1036", "T1574"), "T1036": ("T1574", "T1564"),
+    "T1106": ("T1059", "T1055"), "T1083": ("T1082", "T1057"), "T1082": ("T1083", "T1057", "T1518"), "T1057": ("T1082", "T1083"), "T1003": ("T1555", "T1552"), "T1555": ("T1003", "T1552"), "T1552": ("T1003", "T1555"),
+    "T1546": ("T1547", "T1053", "T1543"), "T1574": ("T1036", "T1547", "T1564"), "T1098": ("T1136", "T1078"), "T1136": ("T1098",), "T1548": ("T1222", "T1134"), "T1485": ("T1070", "T1490"), "T1005": ("T1074", "T1560"),
+    "T1037": ("T1547", "T1546"), "T1055": ("T1106", "T1134"), "T1134": ("T1055", "T1548"), "T1518": ("T1082", "T1057"), "T1078": ("T1098", "T1087"), "T1012": ("T1112", "T1082"),
 }
 TACTICS = {
-    "defense_evasion": "T1027 T1036 T1070 T1112 T1140 T1218 T1222 T1553 T1562 T1564 T1574 T1202 T1216 T1220 T1480 T1497 T1622 T1620", "execution": "T1047 T1059 T1106 T1129 T1204 T1559 T1569",
-    "persistence": "T1037 T1053 T1098 T1136 T1137 T1505 T1543 T1546 T1547 T1556 T1554 T1078",
-    "discovery": "T1007 T1012 T1016 T1018 T1033 T1040 T1046 T1049 T1057 T1069 T1082 T1083 T1087 T1124 T1135 T1201 T1217 T1482 T1518 T1526 T1580 T1614 T1619 T1652",
-    "credential_access": "T1003 T1056 T1110 T1528 T1539 T1550 T1552 T1555 T1558", "privilege_escalation": "T1055 T1134 T1484 T1548 T1611", "impact": "T1485 T1486 T1489 T1490 T1491 T1529 T1531",
-    "collection": "T1005 T1074 T1113 T1114 T1115 T1119 T1530 T1560", "command_and_control": "T1001 T1071 T1090 T1105 T1132 T1205 T1219 T1573", "lateral_movement": "T1021 T1570", "exfiltration": "T1041 T1048 T1567",
-    "initial_access": "T1156 T1566 T1680", "resource_development": "T1127",
+    "defense_evasion": ("T1027", "T1036", "T1070", "T1112", "T1140", "T1218", "T1222", "T1553", "T1562", "T1564", "T1574", "T1202", "T1216", "T1220", "T1480", "T1497", "T1622", "T1620"),
+    "execution": ("T1047", "T1059", "T1106", "T1129", "T1204", "T1559", "T1569"), "persistence": ("T1037", "T1053", "T1098", "T1136", "T1137", "T1505", "T1543", "T1546", "T1547", "T1556", "T1554", "T1078"),
+    "discovery": ("T1007", "T1012", "T1016", "T1018", "T1033", "T1040", "T1046", "T1049", "T1057", "T1069", "T1082", "T1083", "T1087", "T1124", "T1135", "T1201", "T1217", "T1482", "T1518", "T1526", "T1580", "T1614", "T1619", "T1652"),
+    "credential_access": ("T1003", "T1056", "T1110", "T1528", "T1539", "T1550", "T1552", "T1555", "T1558"), "privilege_escalation": ("T1055", "T1134", "T1484", "T1548", "T1611"),
+    "impact": ("T1485", "T1486", "T1489", "T1490", "T1491", "T1529", "T1531"), "collection": ("T1005", "T1074", "T1113", "T1114", "T1115", "T1119", "T1530", "T1560"),
+    "command_and_control": ("T1001", "T1071", "T1090", "T1105", "T1132", "T1205", "T1219", "T1573"), "lateral_movement": ("T1021", "T1570"), "exfiltration": ("T1041", "T1048", "T1567"),
+    "initial_access": ("T1156", "T1566", "T1680"), "resource_development": ("T1127",),
 }
 ADJACENT = {
-    "execution": "defense_evasion persistence", "defense_evasion": "execution persistence privilege_escalation", "persistence": "execution privilege_escalation defense_evasion", "discovery": "credential_access collection",
-    "credential_access": "discovery privilege_escalation", "privilege_escalation": "defense_evasion persistence", "collection": "exfiltration discovery", "lateral_movement": "discovery credential_access",
-    "command_and_control": "exfiltration", "impact": "defense_evasion",
+    "execution": ("defense_evasion", "persistence"), "defense_evasion": ("execution", "persistence", "privilege_escalation"), "persistence": ("execution", "privilege_escalation", "defense_evasion"),
+    "discovery": ("credential_access", "collection"), "credential_access": ("discovery", "privilege_escalation"), "privilege_escalation": ("defense_evasion", "persistence"), "collection": ("exfiltration", "discovery"),
+    "lateral_movement": ("discovery", "credential_access"), "command_and_control": ("exfiltration",), "impact": ("defense_evasion",),
 }
 ALPHA = {"strong": 2.0, "weak": 1.5, "none": 0.0}
 MASKED = -1e9
 
 
-def _through(table: dict[str, str], names: Column) -> Column:
+def _through(table: dict[str, tuple[str, ...]], names: Column) -> Column:
     """All that the table gives for the names."""
-    listed = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v.split(" "))))])
+    listed = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     return F.array_distinct(F.flatten(F.array_compact(F.transform(names, lambda n: F.try_element_at(listed, n)))))
 
 

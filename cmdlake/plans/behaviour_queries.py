@@ -46,7 +46,7 @@ def beh1_beh2_actions_stage(spark, sf_dir):
     return routed(ruled(spark, sf_dir)).select("event_id", F.array_join(behaviour.action_tags(), " ").alias("actions"), behaviour.stage(label).alias("stage"))
 
 
-_TOOLS = {tool: token for token, names in behaviour.TOOL_TOKENS.items() for tool in names.split(" ")}
+_TOOLS = behaviour.TOOL_TOKENS
 _HIT = lambda parts: "(" + " OR ".join(f"contains(p, '{x}')" for x in parts) + ")"
 _BUCKET = "CASE " + " ".join(f"WHEN {_HIT(parts)} THEN '{n}'" for n, parts in behaviour.REGISTRY_BUCKETS) + r" WHEN contains(p, 'classes\') AND regexp_matches(p, 'clsid|progid|shell') THEN 'COM_HIJACK' WHEN contains(p, 'policies\') THEN 'POLICY' ELSE 'GENERAL' END"
 _MASKED = "x"
@@ -133,8 +133,8 @@ def fam1_family_scores(spark, sf_dir):
     return rows.select("vec_id", F.array_join(F.transform(chosen, lambda s: s["family"]), " ").alias("families"), F.size(chosen).cast("long").alias("n"))
 
 
-SPACE = sorted({t for table in (priors.TECHNIQUES, priors.TACTICS) for names in table.values() for t in names.split(" ")})
-_pairs = lambda table, name: f"{name} AS (SELECT a, unnest(string_split(b, ' ')) AS b FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in table.items()) + ") t(a, b))"
+SPACE = sorted({t for table in (priors.TECHNIQUES, priors.TACTICS) for names in table.values() for t in names})
+_pairs = lambda table, name: f"{name} AS (SELECT a, unnest(string_split(b, ' ')) AS b FROM (VALUES " + ", ".join(f"('{k}', '{' '.join(v)}')" for k, v in table.items()) + ") t(a, b))"
 _TABLES = ", " + ", ".join(_pairs(t, n) for t, n in ((priors.TECHNIQUES, "tec"), (priors.NEIGHBOURS, "nbr"), (priors.TACTICS, "tac"), (priors.ADJACENT, "adj"))) + ", sp AS (SELECT DISTINCT b FROM (SELECT b FROM tec UNION ALL SELECT b FROM tac))"
 
 
