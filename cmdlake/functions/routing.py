@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cmdlake.functions import decoding
+
 # Pattern by feature, matched without case; ANY_LINE patterns also at line starts.
 PATTERNS = {
     "has_download": r"\b(?:curl|wget|invoke-webrequest|iwr|bitsadmin|certutil(?:\.exe)?|aria2c|fetch)\b",
@@ -56,6 +58,16 @@ def routing_features(*views: Column) -> Column:
     return F.struct(*[any_of(p).alias(name) for name, p in PATTERNS.items()])
 
 
+def with_features(df: DataFrame, column: str = "command", name: str = "f") -> DataFrame:
+    """df with the features of each command and of its decoded form; only what may be obfuscated is decoded and matched twice."""
+    c = F.col(column)
+    odd = decoding.worth_a_look(c)
+    (hidden,) = [n for n in ("decoded", "decoded_") if n not in df.columns][:1]
+    plain = df.filter(~odd).withColumn(name, routing_features(c))
+    found = decoding.decode(df.filter(odd), column, hidden)
+    return plain.unionByName(found.withColumn(name, routing_features(c, F.col(f"{hidden}.final"))).drop(hidden))
+
+
 def suspicious_features(features: Column) -> Column:
     """Names of the matched features that force a closer look, in catalogue order."""
     return F.array_compact(F.array(*[F.when(features[name], F.lit(name)) for name in PATTERNS if name in SUSPICIOUS]))

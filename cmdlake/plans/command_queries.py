@@ -86,7 +86,7 @@ def n14_redaction(spark, sf_dir):
 
 @query(
     "WITH lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations), "
-    r"bare AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(line, '^: [0-9]+:[0-9]+;', ''), '^ *[0-9]+  ', ''), '^\s+|\s+$', '', 'g') AS command FROM lines) "
+    r"bare AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(line, '^\s*:\s*\d+:\d+;', ''), '^\s*\d+\*?\s+', ''), '^\s+|\s+$', '', 'g') AS command FROM lines) "
     "SELECT conv_id, turn, command FROM bare WHERE command <> '' AND NOT starts_with(command, '#')"
 )
 def src3_history_lines(spark, sf_dir):
@@ -237,8 +237,7 @@ def _re(pattern: str) -> str:
 
 @query(WITH + " SELECT event_id, " + ", ".join(f"{_re(p)} AS {name}" for name, p in _PLAIN.items()) + " FROM commands")
 def rte1_routing_features(spark, sf_dir):
-    rows = decoding.decode(commands(spark, sf_dir)).withColumn("f", routing.routing_features(F.col("command"), F.col("decode.final")))
-    return rows.select("event_id", "f.*")
+    return routing.with_features(commands(spark, sf_dir)).select("event_id", "f.*")
 
 
 _SUSPECT = " OR ".join(_re(_PLAIN[name]) for name in routing.SUSPICIOUS)
@@ -249,8 +248,7 @@ _SUSPECT = " OR ".join(_re(_PLAIN[name]) for name in routing.SUSPICIOUS)
     "SELECT event_id, CASE WHEN forced OR benign < 0.5 THEN 'Suspicious' ELSE 'Benign' END AS label, round(CASE WHEN forced THEN greatest(1 - benign, 0.9) ELSE greatest(1 - benign, benign) END, 6) AS confidence FROM f"
 )
 def rte2_rte5_route(spark, sf_dir):
-    views = F.col("command"), F.col("decode.final")
-    rows = decoding.decode(commands(spark, sf_dir)).withColumn("s", routing.suspicious_features(routing.routing_features(*views)))
+    rows = routing.with_features(commands(spark, sf_dir)).withColumn("s", routing.suspicious_features(F.col("f")))
     r = rows.withColumn("r", routing.route((F.col("value") % 100) / 100.0, F.col("s")))
     return r.select("event_id", "r.label", F.round("r.confidence", 6).alias("confidence"))
 

@@ -115,19 +115,6 @@ def win3_stratified_split(spark, sf_dir):
     return datasets.stratified_split(docs(spark, sf_dir).select("doc_id", "source"), "source", order, 0.8, 0.9 - 0.8)
 
 
-@query("SELECT source FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 3 = 1")
-def set2_intersection(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    return rows.filter("doc_id % 3 = 0").select("source").intersect(rows.filter("doc_id % 3 = 1").select("source"))
-
-
-@query("SELECT p_partkey, n_nationkey, replace(replace('scan {part} --region {nation}', '{part}', p_name), '{nation}', n_name) AS command FROM part CROSS JOIN nation WHERE n_regionkey = 1")
-def dst6_template_expansion(spark, sf_dir):
-    nations = docs(spark, sf_dir, "nation").filter("n_regionkey = 1").select("n_nationkey", "n_name")
-    made = F.replace(F.replace(F.lit("scan {part} --region {nation}"), F.lit("{part}"), F.col("p_name")), F.lit("{nation}"), F.col("n_name"))
-    return docs(spark, sf_dir, "part").crossJoin(F.broadcast(nations)).select("p_partkey", "n_nationkey", made.alias("command"))
-
-
 @query(
     f"WITH d AS (SELECT sha256({KEY}) AS key FROM documents), b AS (SELECT sha256({KEY}) AS key FROM benchmark) "
     "SELECT 'both' AS side, key FROM (SELECT key FROM d INTERSECT SELECT key FROM b) UNION ALL SELECT 'left', key FROM (SELECT key FROM d EXCEPT SELECT key FROM b)"

@@ -35,8 +35,8 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_command(line: Column) -> Column:
-    """A shell-history line without a zsh time prefix or a line number; null for blanks and comments."""
-    bare = F.regexp_replace(F.regexp_replace(line, r"^: [0-9]+:[0-9]+;", ""), r"^ *[0-9]+  ", "")
+    """A shell-history line without a zsh time prefix or a line number (starred if edited); null for blanks and comments."""
+    bare = F.regexp_replace(F.regexp_replace(line, r"^\s*:\s*\d+:\d+;", ""), r"^\s*\d+\*?\s+", "")
     bare = F.regexp_replace(bare, r"^\s+|\s+$", "")
     return F.when((bare != "") & ~bare.startswith("#"), bare)
 
