@@ -147,15 +147,6 @@ def bare_tool(exe: Column) -> Column:
     return F.regexp_replace(exe, r"\.exe$", "")
 
 
-def platform(p: Column) -> Column:
-    """windows, linux or unknown of a parsed command."""
-    windows = (F.size(p["registry_paths"]) > 0) | bare_tool(p["executable"]).isin(*WINDOWS_TOOLS)
-    return (
-        F.when(windows, "windows").when(p["executable"].isin(*LINUX_TOOLS), "linux")
-        .when(F.exists(p["flags"], lambda f: f.startswith("/")), "windows").otherwise("unknown")
-    )
-
-
 def interpreter_markers(command: Column) -> Column:
     """Interpreters among the tokens that are no flags, in order."""
     known = F.create_map(*[F.lit(x) for kv in INTERPRETERS.items() for x in kv])
@@ -164,17 +155,6 @@ def interpreter_markers(command: Column) -> Column:
     return F.array_distinct(F.array_compact(named))
 
 
-def proxy_match(p: Column) -> Column:
-    """Whether the executable is a proxy binary of its platform (of any, if that is unknown)."""
-    exe, where = bare_tool(p["executable"]), platform(p)
-    return F.when(where == "windows", exe.isin(*PROXY_WINDOWS)).when(where == "linux", exe.isin(*PROXY_LINUX)).otherwise(exe.isin(*PROXY_WINDOWS, *PROXY_LINUX))
-
-
-def archive_use(p: Column) -> Column:
-    """Whether an archive tool runs or an argument is an archive."""
-    return p["executable"].isin(*ARCHIVERS) | F.exists(p["positional_args"], lambda a: a.rlike(ARCHIVE_SUFFIX))
-
-
 def refanged_urls(c: Column) -> Column:
     """Distinct hxxp(s) URLs in plain form."""
     found = all_of(c, r"(?i)\bhxxps?://[^\s\"'<>|]+")

@@ -134,6 +134,12 @@ def sem1_sem24_features(spark, sf_dir):
     return featured(spark, sf_dir).select("event_id", *FEATURES)
 
 
+@query(PARSED + f", fl AS (SELECT host_id, {', '.join(f'{sql} AS {name}' for name, sql in FEATURES.items())} FROM p) SELECT host_id, count(*) AS n_commands, {', '.join(f'CAST(sum(CAST({name} AS BIGINT)) AS BIGINT) AS {name}' for name in FEATURES)} FROM fl GROUP BY 1")
+def flagship_triage(spark, sf_dir):
+    """What each host runs: its commands and how many have each feature."""
+    return featured(spark, sf_dir).groupBy("host_id").agg(F.count("*").alias("n_commands"), *[F.sum(F.col(name).cast("long")).alias(name) for name in FEATURES])
+
+
 _TAGS = "list_filter([" + ", ".join(f"CASE WHEN {FEATURES[n]} THEN '{n}' END" for n in triage.TAG_ORDER) + "], lambda m: m IS NOT NULL)"
 
 

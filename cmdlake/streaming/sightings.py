@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cmdlake.functions.parsing import parse
+from cmdlake.operators.triage import parse_commands
 
 
 def scanned(stream: DataFrame) -> DataFrame:
-    """Stateless: every command with its struct; the same expressions as in batch."""
-    return stream.withColumn("parsed", parse(F.col("command")))
+    """Stateless: every command with its fields; the same expressions as in batch."""
+    return parse_commands(stream)
 
 
 def _timed(stream: DataFrame) -> DataFrame:
