@@ -33,6 +33,19 @@ def with_grams(df: DataFrame, text: str, chars: tuple[int, int] = (2, 5), words:
     return df.withColumns({"char_grams": inside, "word_grams": grams(tokens, *words, " ")})
 
 
+def term_weights(rows: DataFrame, key: str, terms: str, least: int = 2) -> DataFrame:
+    """key, term, weight of every term that at least ``least`` rows hold: (1 + ln count) x (ln((1 + rows) / (1 + rows with it)) + 1), unit length a row.
+
+    The vocabulary is a table like any other: it is never gathered, and a row without terms has none.
+    """
+    counts = rows.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("c"))
+    total = rows.agg(F.count("*").alias("rows"))
+    idf = counts.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least).crossJoin(F.broadcast(total))  # one row
+    weighed = counts.join(idf, "term").select(key, "term", ((1 + F.log("c")) * (F.log((1 + F.col("rows")) / (1 + F.col("df"))) + 1)).alias("w"))
+    norms = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighed.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
 def features(rows: DataFrame, vocabulary: dict[str, int], least: int = 2) -> PipelineModel:
     """Stages from the gram columns to `features`: counts, inverse frequencies, unit length, side by side."""
     stages = []
@@ -44,7 +57,7 @@ def features(rows: DataFrame, vocabulary: dict[str, int], least: int = 2) -> Pip
 def folds(df: DataFrame, group: str, label: str, wanted: int = 5) -> tuple[DataFrame, int]:
     """df with fold by a hash of its group, and the number of folds: fewer, down to two, until every fold holds both classes."""
     for n in range(wanted, 1, -1):
-        rows = df.withColumn("fold", F.pmod(F.xxhash64(F.col(group).cast("string")), F.lit(n)).cast("int"))
+        rows = df.withColumn("fold", (F.conv(F.substring(F.sha2(F.coalesce(F.col(group).cast("string"), F.lit("")), 256), 1, 8), 16, 10).cast("long") % n).cast("int"))
         sides = rows.groupBy("fold").agg(F.countDistinct(label).alias("c")).agg(F.count("*").alias("n"), F.min("c").alias("c")).first()
         if sides.n == n and sides.c > 1:
             return rows, n
