@@ -2,14 +2,14 @@
 
 Hashed character 1- to 3-gram TF-IDF features (term frequency relative to the text's n-grams),
 fitted by follow-the-regularised-leader with elastic-net penalties on a bounded sample of
-labelled rows (``SAMPLE_ROWS`` expected over all languages, drawn by a hash of the row among texts
+labelled rows (``SAMPLE_ROWS`` expected over all languages, drawn by a hash of the text among texts
 of up to ``SAMPLE_CHARS`` characters, so that what reaches the driver is bounded), then
 a temperature fitted on a fifth of the sample that the weights never saw.  The table of
 weights has a fixed size; every text is scored whole.
 
 Null texts, and texts without a letter, are ``und`` with score 0.  With no labelled row every
 text is ``und``.  Of languages with equal scores the first by name is given.  Repeated rows are
-judged alike, and count each when the model is fitted.  Very long texts are scored whole.  Other
+judged alike, and count once when the model is fitted.  Very long texts are scored whole.  Other
 columns are not read.  An empty table gives no rows.
 """
 

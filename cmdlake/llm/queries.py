@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cmdlake.llm import bpe_chunks, centroids, curve_search, langid, mpeg_audio, near_dedup, packing, quality, spelling, substring_dedup, suffix_dedup, token_counts, warc
+from cmdlake.llm import bpe_chunks, centroids, curve_search, langid, mpeg_audio, near_dedup, oracles, packing, quality, spelling, substring_dedup, suffix_dedup, token_counts, warc
 from cmdlake.llm.common import cut, table
 
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLE)
