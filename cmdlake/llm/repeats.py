@@ -2,9 +2,9 @@
 
 Every window of ``width`` symbols is named by its anchor, the ``gram``-symbol string in it
 with the smallest hash, so equal windows have equal anchors at equal places.  Consecutive
-windows under one anchor form a run; a run's context is the text its windows span.  Runs are
-counted by (anchor, context) with map-side combining, so copies collapse to one context with
-a weight before any text moves.  Anchors of a single run end there.  Equal windows of two
+windows under one anchor form a run; a run's context is the text its windows span.  Anchors of
+a single run end there.  Runs of the others are counted by (anchor, context) with map-side
+combining, so copies collapse to one context with a weight.  Equal windows of two
 contexts agree on half the window's rest to the left of the anchor or to its right, so a
 context that shares neither half with another has only the copies of itself.  The text of the
 rest goes, by anchor, to shards, where an index (a function given by the caller) finds the
@@ -182,9 +182,13 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, slices_of: Callable,
     of boolean arrays, one value per window of each context.
     """
     found = written(find_runs(docs, symbols_of, width, gram))
-    contexts = found.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("d", "k", "at", "n", "l", "r")).alias("one"))
-    anchors = contexts.groupBy("h").agg(F.sum("weight").alias("total"), F.count("*").alias("contexts")).filter("total > 1")
-    contexts = written(contexts.join(anchors, "h").select("h", "c", "weight", "contexts", "one.*"))
+    # most anchors stand once: their runs end here, told by a count that moves the anchors alone
+    again = found.groupBy("h").agg(F.count("*").alias("total")).filter("total > 1").select("h")
+    near = written(found.join(again.hint("merge"), "h", "left_semi"))
+    discard(found)
+    contexts = near.groupBy("h", "c").agg(F.count("*").alias("weight"), F.min(F.struct("d", "k", "at", "n", "l", "r")).alias("one"))
+    anchors = contexts.groupBy("h").agg(F.count("*").alias("contexts"))
+    contexts = written(contexts.join(anchors.hint("merge"), "h").select("h", "c", "weight", "contexts", "one.*"))
 
     # contexts that share a half with another one of their anchor
     halves = (
@@ -248,11 +252,11 @@ def repeated_windows(docs: DataFrame, symbols_of: Callable, slices_of: Callable,
     verdicts = written(alone.unionByName(indexed).unionByName(counted))
     discard(contexts, several, pulled)
     spans = written(
-        found.join(verdicts, ["h", "c"])
+        near.join(verdicts, ["h", "c"])
         .select("d", "k", "at", F.explode("spans").alias("x"))
         .groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct((F.col("at") + F.col("x.s")).alias("s"), (F.col("at") + F.col("x.e")).alias("e")))).alias("spans"))
     )
-    discard(found, verdicts)
+    discard(near, verdicts)
     return spans
 
 
