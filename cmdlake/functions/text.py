@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Redaction patterns in their order, with replacements.
@@ -60,6 +60,12 @@ def redact(c: Column, ips: bool = True, domains: bool = True, users: bool = True
     return c
 
 
+def changed_lines(lines: DataFrame, name: str, *groups: str) -> DataFrame:
+    """A row a group: lines, and how many of them redaction changes."""
+    n = F.sum(F.coalesce(redact(F.col(name)) != F.col(name), F.lit(False)).cast("long"))
+    return lines.groupBy(*groups).agg(F.count("*").alias("n_lines"), n.alias("n_changed"))
+
+
 def tool_family(c: Column) -> Column:
     """tool:<basename of the first token>; an empty command is an error."""
     first = F.split(collapse(c), " ")[0]

@@ -62,6 +62,21 @@ def stratified_split(df: DataFrame, group: str, order: Column, train: float = 0.
     return rows.withColumn("split", F.when((n < 3) | (share < train), "train").when(share < train + validation, "validation").otherwise("test")).drop("__n", "__size")
 
 
+def split_audit(df: DataFrame, key: Column, label: str, split: str) -> DataFrame:
+    """left_split, right_split, shared, conflicting: keys in common, and those of them whose sets of labels differ.
+
+    A split beside itself gives its keys, and those with more than one label.  A key's labels and splits are few.
+    """
+    keys = df.groupBy(key.alias("key"), F.col(split).alias("s")).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    same, several = F.col("a.s") == F.col("b.s"), F.size("a.labels") > 1
+    clash = F.when(same, several).otherwise(F.col("a.labels") != F.col("b.labels"))
+    return (
+        keys.alias("a").join(keys.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.s") <= F.col("b.s")))
+        .groupBy(F.col("a.s").alias("left_split"), F.col("b.s").alias("right_split"))
+        .agg(F.count("*").alias("shared"), F.sum(clash.cast("long")).alias("conflicting"))
+    )
+
+
 def split_overlaps(df: DataFrame, key: Column, split: str) -> DataFrame:
     """left, right, shared: keys that two splits have in common."""
     keys = df.select(key.alias("key"), F.col(split).alias("s")).distinct()

@@ -169,3 +169,9 @@ def averaged_report(df: DataFrame) -> DataFrame:
     hit = F.round(F.avg((F.col("prediction") == F.col("target")).cast("double")), 6)
     micro = df.agg(hit.alias("precision"), hit.alias("recall"), hit.alias("f1")).select(F.lit("micro").alias("average"), "*")
     return rows[0].unionByName(rows[1]).unionByName(micro)
+
+
+def confusions(df: DataFrame, target: str, prediction: str, most: int = 30) -> DataFrame:
+    """The ``most`` frequent pairs of a target and another prediction, and how many rows each has; ties in order of the pair."""
+    wrong = df.filter(F.col(target) != F.col(prediction)).groupBy(target, prediction).agg(F.count("*").alias("n"))
+    return wrong.orderBy(F.desc("n"), target, prediction).limit(most)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cmdlake.functions import decoding, parsing, routing, text
 from cmdlake.operators import baseline
-from cmdlake.sources.commands import COMMANDS_SQL, commands, history_command, last_comma
+from cmdlake.sources.commands import COMMANDS_SQL, commands, execution_contexts, history_command, last_comma
 
 QUERIES, ORACLE = {}, {}
 WITH = f"WITH commands AS ({COMMANDS_SQL})"
@@ -84,6 +84,28 @@ def n14_redaction(spark, sf_dir):
     return commands(spark, sf_dir).withColumn("redacted", text.redact(F.col("command"))).select("event_id", "redacted", (F.col("redacted") != F.col("command")).alias("changed"))
 
 
+@query(WITH + f", r AS (SELECT role, command, {_redact_sql('command')} AS redacted FROM commands) SELECT role, count(*) AS n_lines, CAST(sum(CAST(redacted <> command AS INTEGER)) AS BIGINT) AS n_changed FROM r GROUP BY 1")
+def n14_changed_lines(spark, sf_dir):
+    return text.changed_lines(commands(spark, sf_dir), "command", "role")
+
+
+_ISO = "'2024-03-0' || CAST(1 + event_id % 9 AS STRING) || 'T1' || CAST(event_id % 10 AS STRING) || ':30:00' || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'Z' ELSE '+02:00' END"
+_GIVEN = (
+    f"SELECT event_id, CASE WHEN user_id % 11 > 0 THEN 'H' || CAST(user_id AS STRING) END AS host_id, CASE WHEN event_id % 5 > 0 THEN '  ' || upper(event_type) || ' ' END AS parent_process, "
+    f"CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' Admin ' WHEN 2 THEN 'dev' END AS role, CASE WHEN user_id % 2 = 0 THEN ' EU ' END AS fleet, CASE WHEN event_id % 6 < 3 THEN event_id % 6 = 0 END AS in_maintenance_window, {_ISO} AS timestamp FROM events"
+)
+
+
+@query(
+    f"WITH g AS ({_GIVEN}) SELECT event_id, coalesce(host_id, 'unknown') AS host_id, coalesce(lower(trim(parent_process)), 'unknown') AS parent_process, 'unknown' AS user, CASE WHEN role <> '' THEN lower(trim(role)) END AS role, coalesce(lower(trim(fleet)), 'default') AS fleet, coalesce(in_maintenance_window, false) AS in_maintenance_window, "
+    "epoch_us(CAST(substr(timestamp, 1, 19) AS TIMESTAMP)) - CASE event_id % 3 WHEN 2 THEN 7200000000 ELSE 0 END AS micros FROM g"
+)
+def src14_contexts(spark, sf_dir):
+    given = spark.sql(_GIVEN.replace("FROM events", "FROM {events}"), events=docs(spark, sf_dir, "events"))
+    whole = execution_contexts(given)
+    return whole.select("event_id", "host_id", "parent_process", "user", "role", "fleet", "in_maintenance_window", F.unix_micros("timestamp").alias("micros"))
+
+
 @query(
     "WITH lines AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations), "
     r"bare AS (SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(line, '^\s*:\s*\d+:\d+;', ''), '^\s*\d+\*?\s+', ''), '^\s+|\s+$', '', 'g') AS command FROM lines) "

@@ -9,6 +9,7 @@ from cmdlake.functions.text import dedup_key
 from cmdlake.operators import datasets
 from cmdlake.operators.graph import key_components
 from cmdlake.operators.ranking import ranked
+from cmdlake.sources.gallery import GALLERY_SQL, gallery
 
 QUERIES, ORACLE = {}, {}
 KEY = r"lower(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'))"
@@ -95,6 +96,16 @@ def joi4_split_overlaps(spark, sf_dir):
     return datasets.split_overlaps(docs(spark, sf_dir), F.sha2(key(), 256), "source")
 
 
+@query(
+    f"WITH k AS (SELECT role AS s, lower(command) AS key, list_sort(list(DISTINCT CASE WHEN value < 50 THEN 'Benign' ELSE 'Context' END)) AS labels FROM ({GALLERY_SQL}) GROUP BY 1, 2) "
+    "SELECT a.s AS left_split, b.s AS right_split, count(*) AS shared, CAST(sum(CAST(CASE WHEN a.s = b.s THEN len(a.labels) > 1 ELSE a.labels <> b.labels END AS INTEGER)) AS BIGINT) AS conflicting FROM k a JOIN k b ON a.key = b.key AND a.s <= b.s GROUP BY 1, 2"
+)
+def joi4_split_audit(spark, sf_dir):
+    """Commands that two roles share, and those whose labels differ between them."""
+    rows = gallery(spark, sf_dir).withColumn("label", F.when(F.col("value") < 50, "Benign").otherwise("Context"))
+    return datasets.split_audit(rows, F.lower("command"), "label", "role")
+
+
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || CAST(doc_id AS STRING))) AS n FROM documents) WHERE n <= 20")
 def win1_capped(spark, sf_dir):
     order = F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), 256)

@@ -143,3 +143,9 @@ def eva4_averages(spark, sf_dir):
 @query(SCORED + ", o AS (SELECT len(list_filter(p, lambda x, i: x > p[target + 1] OR (x = p[target + 1] AND i <= target))) AS ahead FROM m) SELECT count(*) AS n, " + ", ".join(f"round(avg(CAST(ahead < {k} AS INT)), 6) AS top{k}" for k in (1, 2, 3)) + " FROM o")
 def eva4_top_k(spark, sf_dir):
     return evaluation.top_k_rates(rows(spark, sf_dir), (1, 2, 3))
+
+
+@query(SCORED + "SELECT target, prediction, count(*) AS n FROM m WHERE target <> prediction GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 30")
+def top1_confusions(spark, sf_dir):
+    best = F.array_position("probabilities", F.array_max("probabilities")) - 1
+    return evaluation.confusions(rows(spark, sf_dir).withColumn("prediction", best), "target", "prediction")

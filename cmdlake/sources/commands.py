@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, StringType
+
+from cmdlake.functions.text import match_key
 
 #: One command per event from dual-use templates; plain SQL, so that any engine derives the same rows.
 COMMANDS_SQL = """
@@ -34,6 +37,38 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(COMMANDS_SQL.replace("FROM events", "FROM {events}"), events=events)
 
 
+def utc_time(df: DataFrame, name: str) -> Column:
+    """A timestamp of seconds since 1970, of ISO text (UTC where it names no zone; other text is an error) or of a timestamp; now where null or absent."""
+    if name not in df.columns:
+        return F.current_timestamp()
+    c, kind = F.col(name), df.schema[name].dataType
+    if isinstance(kind, NumericType):
+        c = F.timestamp_seconds(c)
+    elif isinstance(kind, StringType):
+        day = F.when(F.length(c) == 10, F.concat(c, F.lit("T00:00:00"))).otherwise(c)
+        c = F.when(day.rlike(r"(Z|[+-]\d\d:?\d\d)$"), day).otherwise(F.concat(day, F.lit("Z")))
+    return F.coalesce(c.cast("timestamp"), F.current_timestamp())
+
+
+def execution_contexts(df: DataFrame) -> DataFrame:
+    """df with a whole context: host_id, parent_process, user, timestamp, role, fleet, in_maintenance_window.
+
+    Columns may be absent and values null; either takes the default.  All but the host are lower case without outer
+    white space, and an empty role is null.
+    """
+    had = lambda name, default: F.coalesce(F.col(name).cast("string"), F.lit(default)) if name in df.columns else F.lit(default)
+    role = had("role", "")
+    return df.withColumns({
+        "host_id": had("host_id", "unknown"),
+        "parent_process": match_key(had("parent_process", "unknown")),
+        "user": match_key(had("user", "unknown")),
+        "timestamp": utc_time(df, "timestamp"),
+        "role": F.when(role != "", match_key(role)),
+        "fleet": match_key(had("fleet", "default")),
+        "in_maintenance_window": F.coalesce(F.col("in_maintenance_window").cast("boolean"), F.lit(False)) if "in_maintenance_window" in df.columns else F.lit(False),
+    })
+
+
 def history_command(line: Column) -> Column:
     """A shell-history line without a zsh time prefix or a line number (starred if edited); null for blanks and comments."""
     bare = F.regexp_replace(F.regexp_replace(line, r"^\s*:\s*\d+:\d+;", ""), r"^\s*\d+\*?\s+", "")

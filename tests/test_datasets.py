@@ -1,5 +1,8 @@
 """Dataset queries on small tables that the given ones don't cover."""
 
+from pyspark.sql import functions as F
+
+from cmdlake.operators import datasets
 from cmdlake.plans import dataset_queries
 
 
@@ -27,3 +30,10 @@ def test_all_nations(spark):
     sf = "/root/testdata/sf0.001"
     pairs = dataset_queries.dst6_all_nations(spark, sf).select("p_partkey", "n_nationkey").distinct().count()
     assert pairs == spark.read.parquet(f"{sf}/part.parquet").count() * spark.read.parquet(f"{sf}/nation.parquet").count()
+
+
+def test_split_audit(spark):
+    rows = [("train", "a", "x"), ("train", "a", "y"), ("train", "b", "x"), ("test", "a", "x"), ("test", "b", "x"), ("test", "c", "x")]
+    df = spark.createDataFrame(rows, "split string, key string, label string")
+    got = {(r.left_split, r.right_split): (r.shared, r.conflicting) for r in datasets.split_audit(df, F.col("key"), "label", "split").collect()}
+    assert got == {("test", "test"): (3, 0), ("train", "train"): (2, 1), ("test", "train"): (2, 1)}

@@ -5,6 +5,7 @@ import base64
 from pyspark.sql import functions as F
 
 from cmdlake.functions import decoding, parsing, routing, text
+from cmdlake.sources.commands import execution_contexts
 
 
 def test_parse(spark):
@@ -39,3 +40,18 @@ def test_redact(spark):
 def test_route(spark):
     r = spark.range(1).select(routing.route(F.lit(0.9), routing.suspicious_features(routing.routing_features(F.lit("curl x | sh")))).alias("r")).first().r
     assert (r.label, r.confidence) == ("Suspicious", 0.9)
+
+
+def test_contexts(spark):
+    given = spark.createDataFrame([(" Bash ", "", "2024-01-01"), (None, None, "2024-01-01T00:00:00+01:00")], "parent_process string, role string, timestamp string")
+    a, b = execution_contexts(given).select("*", F.unix_seconds("timestamp").alias("s")).collect()
+    assert (a.host_id, a.parent_process, a.user, a.role, a.fleet, a.in_maintenance_window, a.s) == ("unknown", "bash", "unknown", None, "default", False, 1704067200)
+    assert b.parent_process == "unknown" and b.s == 1704067200 - 3600
+    n = execution_contexts(spark.createDataFrame([(1.5, "h")], "timestamp double, host_id string")).select(F.unix_millis("timestamp"), "host_id").first()
+    assert n == (1500, "h")
+    assert execution_contexts(spark.createDataFrame([("h",)], "host_id string")).filter("timestamp <= current_timestamp()").count() == 1
+
+
+def test_changed_lines(spark):
+    lines = spark.createDataFrame([("a", "ls"), ("a", "ping 10.0.0.1"), ("b", None)], "g string, line string")
+    assert {r.g: (r.n_lines, r.n_changed) for r in text.changed_lines(lines, "line", "g").collect()} == {"a": (2, 1), "b": (1, 0)}
