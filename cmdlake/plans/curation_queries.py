@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cmdlake.functions import weak_labels
 from cmdlake.functions.text import dedup_key
-from cmdlake.operators.digests import multiset_digest, multiset_digest_sql
+from cmdlake.operators.digests import ordered_digests
 from cmdlake.operators import curation, triage
 from cmdlake.plans.dataset_queries import KEY, docs
 from cmdlake.plans.triage_queries import FEATURES, PARSED, RULED, featured, parsed
@@ -307,10 +307,10 @@ def eva16_prior_sweep(spark, sf_dir):
     return rows.groupBy("alpha").agg(F.sum((~base & right).cast("long")).alias("fixed"), F.sum((base & ~right).cast("long")).alias("broke"))
 
 
-@query(f"SELECT source, count(*) AS n, {multiset_digest_sql('sha256(text)')} AS digest FROM documents GROUP BY 1")
+@query("SELECT source, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY doc_id, sha256(text))) AS digest FROM documents GROUP BY 1")
 def snk3_manifest(spark, sf_dir):
-    """A digest of each source's texts that no order changes and partitions merge."""
-    return docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), multiset_digest(F.sha2("text", 256)).alias("digest"))
+    """A digest of each source's texts in the order of their ids."""
+    return ordered_digests(docs(spark, sf_dir).select("source", "doc_id", F.sha2("text", 256).alias("h")), "source", "doc_id", "h")
 
 
 @query("WITH c AS (SELECT doc_id, CASE WHEN toxic = 1 THEN '[\"a\", \"b c\"]' WHEN quality = 0 THEN ' x; y ;;z ' WHEN doc_id % 2 = 0 THEN 'None' ELSE 'solo' END AS cell FROM labels) SELECT doc_id, CASE WHEN cell = 'None' THEN NULL WHEN starts_with(cell, '[') THEN 'a|b c' WHEN cell = 'solo' THEN 'solo' ELSE 'x|y|z' END AS items FROM c")

@@ -63,3 +63,19 @@ def test_signatures_mask_what_varies(spark):
     assert rows[0].s.typed_slots == ["<IP>", "<PATH:users_public>", "<URL>", "C:\\Temp\\a1.exe"] and rows[1].s.executable == "curl"
     assert rows[2].s.raw_signature == "run|*|depth,depth:3|<HEX>,<NUM>,job"
     assert rows[3].s.raw_signature.startswith("unknown|*|")
+
+
+def test_manifest_tells_which_id_has_which_text(spark, tmp_path):
+    import hashlib
+
+    from cmdlake.plans import curation_queries
+
+    def manifest(name, rows):
+        spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        return {r.source: (r.n, r.digest) for r in curation_queries.QUERIES["snk3_manifest"](spark, f"{tmp_path}/{name}").collect()}
+
+    d = lambda *texts: hashlib.sha256("".join(hashlib.sha256(t.encode()).hexdigest() for t in texts).encode()).hexdigest()
+    rest = [(5, "b", None), (6, None, "x"), (8, None, "é"), (9, "c", ""), (7, "c", None)]
+    got = manifest("one", [(10, "a", "p"), (2, "a", "q"), (3, "a", "p"), *rest])
+    assert got == {"a": (3, d("q", "p", "p")), "b": (1, None), None: (2, d("x", "é")), "c": (2, d(""))}
+    assert manifest("swapped", [(10, "a", "q"), (2, "a", "p"), (3, "a", "p"), *rest])["a"] == (3, d("p", "p", "q"))
