@@ -54,6 +54,15 @@ def test_mask_bans_and_fallback(spark):
     got = priors.with_candidates(df, space, "truth").collect()
     assert got[0].candidates == ["T1485", "T1486", "T1490"] and got[0].organic is False and got[0].candidate_mask == [1, 1, 1, 1, 0]
     assert got[1].used_fallback and got[1].organic and got[2].num_candidates == 5 and got[2].organic is None
+    assert all(r.num_candidates == sum(r.candidate_mask) for r in got)
+
+
+def test_prior_vector_takes_the_largest_class(spark):
+    classes = {"credential_access:os_credential_dumping": 0.4, "persistence:account_manipulation": 0.25, "persistence:boot_logon_autostart_execution": 0.3, "persistence:registry_run_key": 0.85, "no:such_class": 1.0}
+    space = ["T1003", "T1037", "T1053", "T1098", "T1547"]
+    df = spark.createDataFrame([("weak", classes), ("strong", {}), ("none", classes), ("strong", None), (None, classes)], "s string, p map<string, double>")
+    got = [r.v for r in df.select(priors.prior_vector(F.col("p"), F.col("s"), space).alias("v")).collect()]
+    assert [round(x, 9) for x in got[0]] == [0.6, 0.45, 0.0, 0.375, 1.275] and got[1:] == [[0.0] * 5] * 4
 
 
 def test_registry_buckets(spark):
