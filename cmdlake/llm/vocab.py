@@ -81,15 +81,17 @@ class WordVocab:
         new = list(words - self.id_words.keys())
         self.held += sum(map(len, new))
         if len(self.id_words) + len(new) > CACHE_WORDS or self.held > CACHE_CHARS:
-            self.id_words.clear()
-            new = list(words)
-            self.held = sum(map(len, new))
-        other = [w for w in new if not self.plain(w)]
+            # what this call needs stays, so that frequent words aren't merged again
+            self.id_words = {w: self.id_words[w] for w in words & self.id_words.keys()}
+            self.held = sum(map(len, words))
+        # one look at all of them first: white space between words makes none of them plain or other
+        whole = " ".join(new)
+        other = [] if self.plain(whole) else [w for w in new if not self.plain(w)]
         for w, found in zip(other, self.slow.encode_batch(other, add_special_tokens=False) if other else (), strict=True):
             self.id_words[w] = np.array(found.ids, "<u4").tobytes()
         new = [w for w in new if w not in self.id_words] if other else new
         # a plain word of mixed case can stand in a text that isn't plain
-        low = {w: w.lower() for w in new if w != w.lower()}
+        low = {w: w.lower() for w in new if w != w.lower()} if other or whole != whole.lower() else {}
         new = list({low.get(w, w) for w in new} - self.id_words.keys()) if low else new
         if new:
             self._merge(new)

@@ -237,3 +237,19 @@ def test_pipeline(spark):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, sf).count() == 0
+
+
+def test_words_are_tested_together_and_kept_ones_not_merged_again(monkeypatch):
+    from cmdlake.llm import vocab
+
+    v = vocab.WordVocab(vocab.default_path("word_bpe_49k.json"))
+    tested, merged, plain, merge = [], [], v.plain, v._merge
+    monkeypatch.setattr(v, "plain", lambda t: tested.append(t) or plain(t))
+    monkeypatch.setattr(v, "_merge", lambda new: merged.extend(new) or merge(new))
+    monkeypatch.setattr(vocab, "CACHE_WORDS", 6)
+    v.learn({"alpha", "beta", "gamma's", "d3lta"})
+    v.learn({"alpha", "beta", "epsilon", "zeta", "eta"})
+    assert len(tested) == 2 and sorted(merged) == sorted({"alpha", "beta", "gamma's", "d3lta", "epsilon", "zeta", "eta"})
+    assert set(v.id_words) == {"alpha", "beta", "epsilon", "zeta", "eta"}
+    for text in ("Alpha BETA x", "Ünï Ω alpha Beta [UNK] eta", "Ω Beta BETA", ""):
+        assert v.ids(text) == np.array(v.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
